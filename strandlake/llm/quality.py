@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
             yield pa.RecordBatch.from_arrays([ids, ys, pa.array([a.tobytes() for a, _ in counted], pa.binary()), pa.array([n.tobytes() for _, n in counted], pa.binary())], names=["id", "y", "at", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int32()), pa.array([around.astype(np.int32).tobytes()], pa.binary()), pa.array([b""], pa.binary())], names=["id", "y", "at", "n"])
 
-    got = rows.select(F.col("_id").cast("long").alias("_id"), "_text", "_y").coalesce(8).mapInArrow(run, "id long, y int, at binary, n binary").collect()
+    got = rows.select(F.col("_id").cast("long").alias("_id"), "_text", "_y").repartition(8).mapInArrow(run, "id long, y int, at binary, n binary").collect()
     around = np.zeros((BUCKETS, DIM), np.int64)
     for r in got:
         if r.y is None:
