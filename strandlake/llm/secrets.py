@@ -101,7 +101,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
     copied = owned.groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos")).where((F.col("owners") > max_owners) | (F.col("repos") > max_repos))
     sets = keyed.where("held is not null").groupBy("held").agg(F.first(hashes).alias("hashes")).select("held", F.explode("hashes").alias("hash"))
     examples = sets.join(copied, "hash").groupBy("held").agg(F.sort_array(F.collect_list("hash")).alias("examples"))
-    return keyed.join(examples, "held", "left").select(F.col("id").alias(id_col), "found", F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
+    # Rows without candidates match nothing; keys of their own keep them from meeting in one task.
+    spread = keyed.withColumn("held", F.coalesce("held", F.concat(F.lit("none-"), F.xxhash64("id", "owner", "repo").cast("string"))))
+    return spread.join(examples, "held", "left").select(F.col("id").alias(id_col), "found", F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
 
 
 def spans_text(found: Column) -> Column:
