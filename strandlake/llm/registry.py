@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("q_repetition", "q_html", "q_mixing", "q_simhash", "q_warc", "q_quality", "q_secrets", "q_hnsw", "q_bpe")
+MODULES: tuple[str, ...] = ("q_repetition", "q_html", "q_mixing", "q_simhash", "q_warc", "q_licences", "q_quality", "q_secrets", "q_hnsw", "q_bpe")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
