@@ -82,28 +82,55 @@ def candidates(text: str | None) -> list[dict]:
     return [{"start": s, "kind": k, "end": e, "from": v, "hash": value_hash(text[v:e])} for s, k, e, v in find(text)]
 
 
-def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidate_column(texts: pa.Array) -> pa.Array:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("from", pa.int64()), ("hash", pa.string())]))
+    return pa.array([candidates(t.as_py()) for t in texts], kind)
+
+
+def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = pa.array([candidates(t.as_py()) for t in batch.column("text")], kind)
+        found = _candidate_column(batch.column("text"))
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("owner"), batch.column("repo"), found], names=["id", "owner", "repo", "found"])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repo: Column | None = None, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
-    """(id, found, examples) of every row: its candidates, and the hashes among them that are copied examples."""
+def _owned(docs: DataFrame, id_col: str, text_col: str, owner: Column | None, repo: Column | None) -> DataFrame:
+    """(id, owner, repo, found) of every row."""
     owner = F.col("source") if owner is None else owner
     repo = F.concat_ws("/", "source", "lang") if repo is None else repo
     source = docs.select(F.col(id_col).alias("id"), owner.cast("string").alias("owner"), repo.cast("string").alias("repo"), F.col(text_col).alias("text"))
-    found = materialize(source.mapInArrow(_candidate_batches, f"id {dict(docs.dtypes)[id_col]}, owner string, repo string, found array<{CANDIDATE}>"), "secrets")
-    hashes = F.array_sort(F.array_distinct("found.hash"))
-    keyed = found.withColumn("held", F.when(F.size("found") > 0, F.sha2(F.array_join(hashes, ","), 256)))
-    owned = keyed.where("held is not null").select(F.explode(hashes).alias("hash"), F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo")).distinct()
+    return materialize(source.mapInArrow(_candidate_batches, f"id {dict(docs.dtypes)[id_col]}, owner string, repo string, found array<{CANDIDATE}>"), "secrets")
+
+
+def _hashes(found: Column) -> Column:
+    return F.array_sort(F.array_distinct(found["hash"]))
+
+
+def _held(found: Column) -> Column:
+    """A digest of the distinct hashes of candidates; null where there are none."""
+    return F.when(F.size(found) > 0, F.sha2(F.array_join(_hashes(found), ","), 256))
+
+
+def copied_examples(found: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """(held, examples): of each set of hashes that texts hold, those that too many owners or repositories have."""
+    some = found.select("owner", "repo", _hashes(F.col("found")).alias("hashes"), _held(F.col("found")).alias("held")).where("held is not null")
+    owned = some.select(F.explode("hashes").alias("hash"), F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo")).distinct()
     copied = owned.groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos")).where((F.col("owners") > max_owners) | (F.col("repos") > max_repos))
-    sets = keyed.where("held is not null").groupBy("held").agg(F.first(hashes).alias("hashes")).select("held", F.explode("hashes").alias("hash"))
-    examples = sets.join(copied, "hash").groupBy("held").agg(F.sort_array(F.collect_list("hash")).alias("examples"))
-    # Rows without candidates match nothing; keys of their own keep them from meeting in one task.
-    spread = keyed.withColumn("held", F.coalesce("held", F.concat(F.lit("none-"), F.xxhash64("id", "owner", "repo").cast("string"))))
-    return spread.join(examples, "held", "left").select(F.col("id").alias(id_col), "found", F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
+    sets = some.groupBy("held").agg(F.first("hashes").alias("hashes")).select("held", F.explode("hashes").alias("hash"))
+    return sets.join(copied, "hash").groupBy("held").agg(F.sort_array(F.collect_list("hash")).alias("examples"))
+
+
+def _with_examples(rows: DataFrame, examples: DataFrame, spread: Column) -> DataFrame:
+    """The rows with the examples of their set `held`. Rows without candidates match nothing; keys of their own keep them from meeting in one task."""
+    keyed = rows.withColumn("held", F.coalesce("held", F.concat(F.lit("none-"), spread.cast("string"))))
+    return keyed.join(examples, "held", "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>"))).drop("held")
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repo: Column | None = None, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """(id, found, examples) of every row: its candidates, and the hashes among them that are copied examples."""
+    found = _owned(docs, id_col, text_col, owner, repo)
+    rows = found.select("id", "owner", "repo", "found", _held(F.col("found")).alias("held"))
+    marked = _with_examples(rows, copied_examples(found, max_owners, max_repos), F.xxhash64("id", "owner", "repo"))
+    return marked.select(F.col("id").alias(id_col), "found", "examples")
 
 
 def spans_text(found: Column) -> Column:
@@ -129,24 +156,21 @@ def report(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", **options) -> DataFrame:
-    """The rows with the values of live-looking secrets masked; copied examples stay."""
-    key = F.sha2(F.coalesce(text_col, F.lit("")), 256)
-    whole = docs.select(F.struct("*").alias("row"))
-    plain = whole.select("row", *(F.col(f"row.{c}").alias(c) for c in dict.fromkeys([text_col, "source", "lang"]) if c in docs.columns))
-    marked = scan(plain.select("*", key.alias("_key")), id_col="_key", text_col=text_col, **options)
-    masks = marked.where(F.size("found") > 0).groupBy("_key").agg(F.first(F.filter("found", lambda c: ~F.array_contains(F.col("examples"), c["hash"]))).alias("live")).where(F.size("live") > 0)
-    joined = whole.withColumn("_key", F.sha2(F.coalesce(f"row.{text_col}", F.lit("")), 256)).join(masks, "_key", "left")
-    kept = joined.select(*(F.col(f"row.{c}").alias(c) for c in docs.columns if c != text_col), F.col(f"row.{text_col}").alias("_text"), F.transform("live", lambda c: F.struct(c["from"].alias("s"), c["end"].alias("e"))).alias("_live"))
-    text, rest = F.col("_text"), F.col("_live")
-    # From the last span to the first, so that earlier offsets stay right; overlapping spans are cut at what is masked already.
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", owner: Column | None = None, repo: Column | None = None, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """The rows, with all their columns, whose live-looking secrets' values are masked; copied examples stay."""
+    examples = copied_examples(_owned(docs, id_col, text_col, owner, repo), max_owners, max_repos)
+    find_all = F.arrow_udf(_candidate_column, f"array<{CANDIDATE}>")
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("_text"), F.col(id_col).alias("_id")).withColumn("found", find_all("_text"))
+    marked = _with_examples(rows.withColumn("held", _held(F.col("found"))), examples, F.xxhash64("_id", F.length("_text")))
+    live = F.filter("found", lambda c: ~F.array_contains(F.col("examples"), c["hash"]))
+    # From the last span to the first, so that offsets before stay right; a span that reaches into one masked before is part of it.
     state = F.aggregate(
-        F.reverse(F.array_sort(rest)),
-        F.struct(text.alias("t"), F.lit(1 << 40).cast("long").alias("least")),
+        F.reverse(F.array_sort(F.transform(live, lambda c: F.struct(c["from"].alias("s"), c["end"].alias("e"))))),
+        F.struct(F.col("_text").alias("t"), F.lit(1 << 40).cast("long").alias("least")),
         lambda a, c: F.struct(
             F.when(c["e"] <= a["least"], F.concat(F.substring(a["t"], F.lit(1), c["s"].cast("int")), F.lit(mask), F.substring(a["t"], (c["e"] + 1).cast("int"), F.length(a["t"])))).otherwise(a["t"]).alias("t"),
             F.when(c["e"] <= a["least"], c["s"]).otherwise(a["least"]).alias("least"),
         ),
     )["t"]
-    masked = F.when(rest.isNull(), text).otherwise(state).alias(text_col)
-    return kept.select(*(masked if c == text_col else c for c in docs.columns))
+    masked = marked.select("row", F.when(F.size(live) > 0, state).otherwise(F.col("_text")).alias("_masked"))
+    return masked.select(*(F.col("_masked").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import connected_components, materialize
@@ -106,14 +106,19 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
-    """(id, fp) of every row; fp is the fingerprint as a signed long."""
+    """(id, text_sha, fp) of every row; fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), n) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), n) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=[id_col, "text_sha", "fp"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {dict(df.dtypes)[id_col]}, fp long")
+    return df.select(id_col, text_sha(text_col).alias("text_sha"), F.col(text_col)).mapInArrow(run, f"{id_col} {dict(df.dtypes)[id_col]}, text_sha string, fp long")
+
+
+def text_sha(text_col: str) -> Column:
+    """A digest of a text; null has its own."""
+    return F.coalesce(F.sha2(F.col(text_col), 256), F.lit("null"))
 
 
 def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,12 +210,27 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     return ready.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_linked, "u long, v long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """(id, fp, component) of every row; component is the smallest id in the row's component."""
+def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints (id, text_sha, fp), and (fp, class, component) of the distinct ones."""
     prints = materialize(fingerprints(df, id_col, text_col, n), "fingerprints")
     reps = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("rep")), "fingerprint-reps")
     components = connected_components(links(reps, block))
     classes = reps.join(components.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("class"))
     named = classes.groupBy("class").agg(F.min("rep").alias("component"))
-    by_fp = classes.join(named, "class").select("fp", "component")
-    return prints.join(by_fp, "fp").select(id_col, "fp", "component")
+    return prints, classes.join(named, "class").select("fp", "class", "component")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """(id, fp, component) of every row; component is the smallest id in the row's component."""
+    prints, classes = classify(df, id_col, text_col, n, block)
+    return prints.join(classes, "fp").select(id_col, "fp", "component")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest id, then of the smallest text digest."""
+    prints, classes = classify(df, id_col, text_col, n, block)
+    firsts = prints.join(classes, "fp").groupBy("class").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "text_sha")).alias("k"))
+    key = lambda own, sha: F.sha2(F.concat(F.coalesce(own.cast("string"), F.lit("null")), F.lit("/"), sha), 256)
+    rows = df.select(F.struct("*").alias("row"), key(F.col(id_col), text_sha(text_col)).alias("_key"))
+    kept = rows.join(firsts.select(key(F.col("k.id"), F.col("k.text_sha")).alias("_key")), "_key", "left_semi")
+    return kept.groupBy("_key").agg(F.first("row").alias("row")).select("row.*")  # repeated rows are one

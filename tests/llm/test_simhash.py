@@ -80,3 +80,15 @@ def test_components_of_paths_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100), (None, 3), (200, 150), (150, 175)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "u long, v long")).collect()))
     assert got == {**dict.fromkeys(range(41), 0), 150: 150, 175: 150, 200: 150}
+
+
+def test_keep_one_of_each_component(spark):
+    rows = [*corpus(), (None, "a text of nobody else at all"), (None, "a text of nobody else at all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as fp", "'z' as class", "2 as _id")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    components = {(c, p if c is None else None) for _, p, c in brute_components(rows)}
+    named = {c for _, _, c in brute_components(rows) if c is not None}
+    assert {i for i, _ in got if i is not None} == named and len(got) == len(components)
+    assert set(got) <= set(rows)
