@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 FLAGSHIP = "trf_multiclass"
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("vectors",)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
