@@ -247,10 +247,10 @@ def rates(docs: DataFrame, labels: DataFrame, targets, domains: dict[str, str] |
 def resample(docs: DataFrame, labels: DataFrame, targets, domains: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, each as often as its rate says: the whole part, and once more by a hash of id and text at the rest."""
     model = fit_classifier(docs, labels, domains, id_col, text_col)
-    scored = _scored(docs, model, text_col)
     p = [f"_p{k}" for k in range(len(model.domains))]
-    slim = materialize(scored.select("_tokens", *p), "mixing")
-    steps = fit_rates(slim, targets(model.domains))
+    # Written with its rows: every step and the rates then read posteriors instead of scoring texts again.
+    scored = materialize(_scored(docs, model, text_col), "mixing")
+    steps = fit_rates(scored.select("_tokens", *p), targets(model.domains))
     chance = F.pmod(F.xxhash64(F.lit(29), f"row.`{id_col}`", f"row.`{text_col}`"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     copies = F.floor(rate_column([F.col(c) for c in p], steps) + chance).cast("int")
     return scored.select("row", copies.alias("_n")).where("_n > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("_n")))).select("row.*")
