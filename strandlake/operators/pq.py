@@ -1,0 +1,55 @@
+"""IVF-PQ: coarse lists, product-quantised codes, asymmetric distances, exact order of the pool."""
+
+from __future__ import annotations
+
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from strandlake.functions import vec
+from strandlake.operators import knn
+
+SAMPLE = 20_000
+
+
+def build(corpus: DataFrame, lists: int = 8, parts: int = 8, codes: int = 32, seed: int = 7, sample: int = SAMPLE) -> tuple[list, list, DataFrame]:
+    """Coarse centres, codebooks, and (id, list, codes) of unit vectors; centres are fitted on a bounded sample."""
+    unit = corpus.select("id", vec.normalize(vec.as_double("vector"), "error").alias("v"))
+    dims = unit.select(F.size("v")).first()[0]
+    if dims % parts:
+        raise ValueError(f"{dims} dimensions do not split in {parts} parts")
+    fit = unit.orderBy(F.xxhash64("id"), "id").limit(sample).persist()
+    n = fit.count()
+    centre = lambda column, k: [[float(x) for x in c] for c in KMeans(k=min(k, n), seed=seed, maxIter=5, featuresCol="f").fit(fit.select(array_to_vector(column).alias("f"))).clusterCenters()]
+    coarse = centre(F.col("v"), lists)
+    width = dims // parts
+    books = [centre(F.slice("v", 1 + p * width, width), codes) for p in range(parts)]
+    placed = unit.select("id", nearest(F.col("v"), coarse).alias("list"), F.array(*(nearest(F.slice("v", 1 + p * width, width), books[p]) for p in range(parts))).alias("codes"))
+    return coarse, books, placed
+
+
+def _constant(rows: list):
+    return F.from_json(F.lit(str(rows)), "array<array<double>>")
+
+
+def nearest(v, centres: list):
+    """Number of the centre nearest to a vector."""
+    gaps = F.transform(_constant(centres), lambda c: vec.total(F.zip_with(v, c, lambda x, y: (x - y) * (x - y))))
+    return (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")
+
+
+def search(queries: DataFrame, corpus: DataFrame, k: int = 10, lists: int = 8, probes: int = 4, pool: int = 200, **options) -> DataFrame:
+    """The k nearest by cosine among the `pool` best codes of the probed lists."""
+    knn.check_k(k)
+    coarse, books, placed = build(corpus, lists, **options)
+    width = len(books[0][0])
+    q = queries.select("query_id", vec.normalize(vec.as_double("vector")).alias("q"))
+    gaps = F.transform(_constant(coarse), lambda c, i: F.struct(vec.total(F.zip_with(F.col("q"), c, lambda x, y: (x - y) * (x - y))).alias("d"), i.alias("i")))
+    tables = F.array(*(F.transform(_constant(book), lambda c, p=p: vec.total(F.zip_with(F.slice("q", 1 + p * width, width), c, lambda x, y: (x - y) * (x - y)))) for p, book in enumerate(books)))
+    asked = q.select("query_id", tables.alias("t"), F.explode(F.slice(F.array_sort(gaps), 1, min(probes, len(coarse)))).alias("g")).select("query_id", "t", F.col("g.i").alias("list"))
+    rough = asked.join(placed, "list").select("query_id", "id", vec.total(F.zip_with("t", "codes", lambda t, c: F.get(t, c))).alias("d"))
+    order = W.partitionBy("query_id").orderBy("d", "id")
+    best = rough.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(k, pool)).select("query_id", "id")
+    return knn.rerank(best, queries, corpus, k)

@@ -92,3 +92,32 @@ def validate(df: DataFrame, id_col: str = "id", text_col: str = "sequence", spli
     ids = df.groupBy(id_col).count().agg(F.count_if(F.col("count") > 1).alias("repeated_ids"))
     rows = df.agg(F.count("*").alias("n"), F.count_if(F.col(id_col).isNull()).alias("null_ids"), F.count_if(F.coalesce(F.length(text_col), F.lit(0)) == 0).alias("empty_texts"), F.count_if(~F.coalesce(F.col(split_col), F.lit("")).isin("train", "val", "test")).alias("bad_splits"))
     return rows.join(ids, F.lit(True))  # one row each
+
+
+def subclass_holdout(df: DataFrame, fraction: float = 0.1, salt: str = "split") -> DataFrame:
+    """(id, parent, child) rows with a `split` whose held-out children never occur in train.
+
+    Parents with two children or more lend children, the rarest first, until a
+    tenth of the eligible rows is test and, with three candidates, another tenth
+    val; one train child per parent stays. The choice is sequential over
+    (parent, child, count), one row per class.
+    """
+    import hashlib
+
+    counts = df.groupBy("parent", "child").count().collect()
+    by: dict = {}
+    for r in counts:
+        by.setdefault(r.parent, []).append(r)
+    eligible = [r for rows in by.values() if len(rows) >= 2 for r in rows]
+    order = sorted(eligible, key=lambda r: (r["count"], hashlib.sha256(f"{salt}:{r.child}".encode()).hexdigest()))
+    left, placed = {p: len(rows) for p, rows in by.items()}, {}
+    wanted = max(1, round(sum(r["count"] for r in eligible) * fraction))
+    for split in ("test", "val") if len(order) >= 3 else ("test",):
+        n = 0
+        for r in order:
+            if n >= wanted:
+                break
+            if r.child not in placed and left[r.parent] > 1:
+                placed[r.child], left[r.parent], n = split, left[r.parent] - 1, n + r["count"]
+    chosen = df.sparkSession.createDataFrame(list(placed.items()), "child string, _s string")
+    return df.join(chosen, "child", "left").withColumn("split", F.coalesce("_s", F.lit("train"))).drop("_s")

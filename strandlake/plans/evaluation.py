@@ -108,7 +108,7 @@ def go_tables(spark, sf):
     return dag.propagate_labels(a, closed, ["ROOT"]), dag.propagate_scores(scores, closed, ["ROOT"]), graphs.term_ic(spark, sf, closed).withColumnRenamed("ic", "weight"), closed
 
 
-@query(GO + "select entity, string_agg(term, ';' order by term) as terms from (select entity, term from tr except select entity, anc from ann join clo using (term) where anc <> 'ROOT' and cast(substr(ann.term, 2) as bigint) % 5 = 0) group by 1")
+@query(GO + "select entity, string_agg(term, ';' order by term) as terms from (select entity, term from tr except select entity, anc from ann join clo using (term) where anc <> 'ROOT' and try_cast(substr(ann.term, 2) as bigint) % 5 = 0) group by 1")
 def go_context(spark, sf):
     """Propagated truth without what is already known, known terms propagated too."""
     truth, _, _, closed = go_tables(spark, sf)

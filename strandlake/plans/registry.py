@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 FLAGSHIP = "trf_multiclass"
-MODULES: tuple[str, ...] = ("vectors", "relational", "graphs", "evaluation")
+MODULES: tuple[str, ...] = ("vectors", "relational", "graphs", "evaluation", "datasets")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
