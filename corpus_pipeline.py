@@ -13,8 +13,9 @@ from strandlake.llm import bpe, mixing, quality, secrets, simhash
 from strandlake.llm.common import materialize
 from strandlake.session import table
 
-#: What mixing makes of each domain's expected tokens: clean documents are kept and a few repeated, others thinned.
-FACTORS = {"clean": 1.1, "toxic": 0.3, "low": 0.5}
+#: What mixing makes of each domain's expected tokens: clean documents are kept and a few repeated, toxic ones thinned.
+#: Low quality is the first stage's work: little of it is left, and a target of its own would move clean documents' rates.
+FACTORS = {"clean": 1.1, "toxic": 0.3, "low": 1.1}
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
