@@ -160,8 +160,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
     """The rows, with all their columns, whose live-looking secrets' values are masked; copied examples stay."""
     examples = copied_examples(_owned(docs, id_col, text_col, owner, repo), max_owners, max_repos)
     find_all = F.arrow_udf(_candidate_column, f"array<{CANDIDATE}>")
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("_text"), F.col(id_col).alias("_id")).withColumn("found", find_all("_text"))
-    marked = _with_examples(rows.withColumn("held", _held(F.col("found"))), examples, F.xxhash64("_id", F.length("_text")))
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("_text")).withColumn("found", find_all("_text"))
+    # Texts without candidates, nearly all, are passed on as they are and take no part in the join's shuffle.
+    clean = rows.where(F.size("found") == 0).select("row", F.col("_text").alias("_masked"))
+    marked = rows.where(F.size("found") > 0).withColumn("held", _held(F.col("found"))).join(examples, "held", "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
     live = F.filter("found", lambda c: ~F.array_contains(F.col("examples"), c["hash"]))
     # From the last span to the first, so that offsets before stay right; a span that reaches into one masked before is part of it.
     state = F.aggregate(
@@ -172,5 +174,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
             F.when(c["e"] <= a["least"], c["s"]).otherwise(a["least"]).alias("least"),
         ),
     )["t"]
-    masked = marked.select("row", F.when(F.size(live) > 0, state).otherwise(F.col("_text")).alias("_masked"))
+    masked = clean.unionAll(marked.select("row", F.when(F.size(live) > 0, state).otherwise(F.col("_text")).alias("_masked")))
     return masked.select(*(F.col("_masked").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
