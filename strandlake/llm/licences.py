@@ -16,6 +16,7 @@ empty table an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -201,7 +202,10 @@ def _damaged(template: list[str], filler: np.ndarray, rng: np.random.Generator)
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_negatives: int = MAX_NEGATIVES, seed: int = 3) -> Model:
     """Train on damaged templates, look-alikes and paragraphs of at most max_negatives documents."""
-    sample = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.expr(f"slice(filter(split({text_col}, '\\n'), x -> length(x) between 1 and 2000), 1, {NEGATIVE_LINES})").alias("lines")).where("size(lines) > 0").orderBy("h").limit(max_negatives)
+    sample = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.expr(f"slice(filter(split({text_col}, '\\n'), x -> length(x) between 1 and 2000), 1, {NEGATIVE_LINES})").alias("lines")).where("size(lines) > 0")
+    # A first cut by hash leaves about four times the rows wanted, so that tasks send few of them.
+    share = min(1.0, 4 * max_negatives / max(1, docs.count()))
+    sample = sample.where(F.pmod("h", F.lit(1 << 20)) < math.ceil(share * (1 << 20))).orderBy("h").limit(max_negatives)
     lines = sorted({line for row in sample.collect() for line in row.lines})
     rng = np.random.default_rng(seed)
     families = [*TEMPLATES, UNKNOWN]
