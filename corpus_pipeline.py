@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import bpe, mixing, quality, secrets, simhash
+from strandlake.llm import bpe, mixing, near, quality, secrets
 from strandlake.llm.common import materialize
 from strandlake.session import table
 
@@ -25,8 +25,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
-    return simhash.keep_one(docs)
+    """One document of each component of texts with a shingle similarity of 0.8 or more."""
+    return near.keep_one(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

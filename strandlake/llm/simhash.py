@@ -229,7 +229,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest id, then of the smallest text digest."""
     prints, classes = classify(df, id_col, text_col, n, block)
-    firsts = prints.join(classes, "fp").groupBy("class").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "text_sha")).alias("k"))
+    return first_rows(df, prints.join(classes, "fp"), id_col, text_col)
+
+
+def first_rows(df: DataFrame, classed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of each class of `classed` (id, text_sha, class), with all its columns."""
+    firsts = classed.groupBy("class").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "text_sha")).alias("k"))
     key = lambda own, sha: F.sha2(F.concat(F.coalesce(own.cast("string"), F.lit("null")), F.lit("/"), sha), 256)
     rows = df.select(F.struct("*").alias("row"), key(F.col(id_col), text_sha(text_col)).alias("_key"))
     kept = rows.join(firsts.select(key(F.col("k.id"), F.col("k.text_sha")).alias("_key")), "_key", "left_semi")
