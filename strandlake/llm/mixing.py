@@ -13,11 +13,12 @@ Gram matrix is that of the documents whose rate is positive at the step.
 
 Null and empty texts have no tokens and the prior as posterior. Null ids and
 repeated rows are documents like others; null labels are not fitted on. Without
-usable labels all posteriors are equal. An empty table gives an empty result. A
-domain with under MIN_SHARE of all expected tokens is counted with the first one:
-rates that met a target of its own would be ruled by noise.
-Targets that no nonnegative rates meet end after `max_steps` with the least
-residual found. Other columns are ignored by rates() and kept by resample().
+usable labels all posteriors are equal. An empty table gives an empty result.
+Every domain has its own target, however few tokens it has. A step that doesn't
+lessen the squared residual is damped towards a plain gradient step and tried
+again. Targets that no nonnegative rates meet end after `max_steps` with the
+least residual found. Other columns are ignored by rates() and kept by
+resample().
 """
 
 from __future__ import annotations
@@ -37,9 +38,9 @@ FEATURES, FIT_STEPS, DECAY = 1024, 300, 1e-4
 #: Share of distinct words under which a document gets the mark of repetition.
 FEW_DISTINCT = 0.25
 TEMPERATURES = (0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 4.0)
-TOLERANCE, MAX_STEPS, MAX_HALVINGS = 1e-7, 60, 6
-#: A domain with a lower share of all expected tokens has no target of its own and is counted with the first one.
-MIN_SHARE = 0.01
+TOLERANCE, MAX_STEPS = 1e-7, 60
+#: First damping of a step that failed, as a share of the Gram matrix's trace, and its factor from step to step.
+DAMPING, DAMPING_FACTOR = 1e-6, 10.0
 #: Domains of the labels table; the first one is the reference of the log-odds.
 DOMAINS = {"clean": "quality = 1 and coalesce(toxic, 0) = 0", "toxic": "quality = 1 and toxic = 1", "low": "quality = 0"}
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -168,11 +169,11 @@ def _scored(docs: DataFrame, model: Classifier, text_col: str) -> DataFrame:
     return evidence.select("row", "_tokens", *(p.alias(f"_p{k}") for k, p in enumerate(_posteriors(model))))
 
 
-def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
-    """Gaussian elimination of a small system with a light ridge."""
+def _solve(matrix: list[list[float]], right: list[float], damping: float = 0.0) -> list[float]:
+    """Gaussian elimination of a small system with a light ridge on each diagonal element, and `damping` times the trace."""
     size = len(right)
-    ridge = 1e-9 * max(1e-300, sum(matrix[i][i] for i in range(size)))
-    rows = [[matrix[i][j] + ridge * (i == j) for j in range(size)] + [right[i]] for i in range(size)]
+    common = damping * sum(matrix[i][i] for i in range(size))
+    rows = [[matrix[i][j] + (1e-9 * matrix[i][i] + common) * (i == j) for j in range(size)] + [right[i]] for i in range(size)]
     for i in range(size):
         pivot = max(range(i, size), key=lambda r: abs(rows[r][i]))
         rows[i], rows[pivot] = rows[pivot], rows[i]
@@ -211,34 +212,24 @@ def fit_rates(scored: DataFrame, targets, tolerance: float = TOLERANCE, max_step
     gram, totals = sums(steps)
     wanted = targets(totals)
     scale = max(1.0, sum(wanted))
-    # home[k]: the domain that k is counted with.
-    home = [k if k == 0 or totals[k] >= MIN_SHARE * sum(totals) else 0 for k in range(size)]
-    own = sorted(set(home))
-
-    def direction(gram: list[list[float]], residual: list[float]) -> list[float]:
-        """The preconditioned step, one coefficient per domain."""
-        at = {k: [j for j in range(size) if home[j] == k] for k in own}
-        small = _solve([[sum(gram[i][j] for i in at[a] for j in at[b]) for b in own] for a in own], [sum(residual[j] for j in at[a]) for a in own])
-        return [small[own.index(home[k])] for k in range(size)]
-
-    def off(totals: list[float]) -> tuple[list[float], float]:
-        """What the totals exceed the targets by, and the largest of it by counted domain as a share of all."""
-        residual = [a - b for a, b in zip(totals, wanted, strict=True)]
-        return residual, max(abs(sum(residual[j] for j in range(size) if home[j] == k)) for k in own) / scale
-
-    residual, error = off(totals)
-    move, halved = direction(gram, residual), 0
+
+    def off(totals: list[float]) -> list[float]:
+        """What the totals exceed the targets by."""
+        return [a - b for a, b in zip(totals, wanted, strict=True)]
+
+    residual, damping = off(totals), 0.0
     for _ in range(max_steps):
-        if error <= tolerance or halved == MAX_HALVINGS:
+        if max(map(abs, residual)) / scale <= tolerance:
             break
-        gram, totals = sums([*steps, move])
-        after, now = off(totals)
-        if now < error:
+        move = _solve(gram, residual, damping)
+        matrix, totals = sums([*steps, move])
+        after = off(totals)
+        if sum(r * r for r in after) < sum(r * r for r in residual):
             steps.append(move)
-            error = now
-            move, halved = direction(gram, after), 0
+            gram, residual = matrix, after
+            damping = damping / DAMPING_FACTOR if damping > DAMPING else 0.0
         else:  # too far: the projection clipped more than the step foresaw
-            move, halved = [c / 2 for c in move], halved + 1
+            damping = max(DAMPING, damping * DAMPING_FACTOR)
     return steps
 
 

@@ -74,3 +74,27 @@ def test_native_plan(tables):
     docs, labels, _ = tables
     plan = mixing._scored(docs, mixing.fit_classifier(docs, labels), "text")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def made_up(spark, toxic, low, n=2000):
+    """Posteriors of n documents of 100 tokens, of which `toxic` and `low` are of these domains."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(n):
+        noise = [rng.uniform(0, 2e-4), rng.uniform(0, 2e-4)]
+        noise = [0.98, noise[1]] if i < toxic else [noise[0], 0.97] if i < toxic + low else noise
+        rows.append((100, 1 - sum(noise), *noise))
+    return spark.createDataFrame(rows, "_tokens long, _p0 double, _p1 double, _p2 double")
+
+
+@pytest.mark.parametrize(("toxic", "low"), [(8, 1), (16, 1), (16, 300), (8, 0)])
+def test_tiny_domains_keep_their_targets(spark, toxic, low):
+    scored = made_up(spark, toxic, low)
+    names = ["clean", "toxic", "low"]
+    p = [mixing.F.col(f"_p{k}") for k in range(3)]
+    given = [mixing.share_targets({"clean": 0.85, "toxic": 0.05, "low": 0.10}, names)] * bool(low) + [mixing.factor_targets({"clean": 1.1, "toxic": 0.3, "low": 1.1}, names)]
+    for targets in given:
+        rows = scored.withColumn("rate", mixing.rate_column(p, mixing.fit_rates(scored, targets))).collect()
+        post, rate = np.array([r[1:4] for r in rows]), np.array([r.rate for r in rows])
+        wanted = targets((100 * post).sum(axis=0).tolist())
+        assert (rate >= 0).all() and np.allclose(100 * rate @ post, wanted, rtol=0, atol=1e-6 * sum(wanted))
