@@ -5,13 +5,16 @@ of a softmax regression over licence families and an unknown class. It is
 trained here on damaged copies of the templates and on look-alike and corpus
 paragraphs (at most `max_negatives` documents, the smallest hashes of their
 ids); a temperature and the least probability of a family are set on rows that
-the fit didn't see. A prediction counts where the paragraph also holds enough of
-a template of that family, in order.
+the fit didn't see. A prediction counts where the words also hold enough of a
+template of that family, in order.
 
 Paragraphs are lines; a line that ends without a full stop is joined with the
-next one (hard-wrapped notices). Null and empty texts have no paragraphs. A
-paragraph has at most one family. Repeated rows and null ids give a row each, an
-empty table an empty result; other columns are ignored.
+next one (hard-wrapped notices). A paragraph has every family that is found in
+it: the whole paragraph is classified, then overlapping windows of its words
+around template sequences. What a found notice covers is left out, and the words
+on both sides are searched in the same way. Null and empty texts have no
+paragraphs. Repeated rows and null ids give a row each, an empty table an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -107,7 +110,9 @@ MAX_NEGATIVES, NEGATIVE_LINES = 400, 4
 #: Least share of a template's three-word sequences that a confirmed paragraph holds.
 CONFIRM = 0.5
 FALSE_RATE = 0.002
-OPEN_LINE = re.compile(r"[^.!?:;]\s*$")
+OPEN_LINE = re.compile(r"[^.!?:;\s]\s*$")
+#: Lengths in words of the windows of a paragraph; they overlap by half. Stretches without template sequences of GAP words part the windows' groups.
+WINDOWS, GAP = (48, 24, 12, 6), 12
 
 
 def words_of(paragraph: str) -> list[str]:
@@ -127,7 +132,7 @@ def paragraphs(text: str | None) -> Iterator[tuple[int, int]]:
         end = at + len(line)
         if line.strip():
             start = at if start is None else start
-            if not OPEN_LINE.search(line[-40:]):
+            if not OPEN_LINE.search(line.rstrip()[-1:]):
                 yield start, end
                 start = None
         elif start is not None:
@@ -168,8 +173,11 @@ class Model:
         return sorted(out)
 
     def classify(self, paragraph: str) -> tuple[str, float] | None:
-        """The confirmed family of a paragraph and its probability."""
-        words = words_of(paragraph)
+        """The confirmed family of a paragraph as a whole and its probability."""
+        return self.family(words_of(paragraph))
+
+    def family(self, words: list[str]) -> tuple[str, float] | None:
+        """The confirmed family of words and its probability."""
         found = self.features(words)
         if not found:
             return None
@@ -179,9 +187,83 @@ class Model:
             return None
         return self.families[best], float(p[best])
 
+    def classify_all(self, paragraph: str) -> list[tuple[str, float]]:
+        """All confirmed families of a paragraph with their largest probabilities, most probable first."""
+        words = words_of(paragraph)
+        out: dict[str, float] = {}
+        parts = [words] if anchors(words) else []
+        while parts:
+            part = parts.pop()
+            whole = self.family(part)
+            for s, e in [(0, len(part))] if whole else groups(part):
+                piece = part[s:e]
+                cut = []
+                for start, end, family, p in [(0, len(piece), *whole)] if whole else self._windows(piece):
+                    out[family] = max(p, out.get(family, 0.0))
+                    cut += [(start + a, start + b) for a, b in covered(piece[start:end], family)]
+                at = 0
+                for a, b in sorted(cut) + [(len(piece), len(piece))] * bool(cut):
+                    if at < a and anchors(piece[at:a]):
+                        parts.append(piece[at:a])
+                    at = max(at, b)
+        return sorted(out.items(), key=lambda x: (-x[1], x[0]))
+
+    def _windows(self, words: list[str]) -> list[tuple[int, int, str, float]]:
+        """(start, end, family, probability) of the windows with a confirmed family, of the largest length that has any."""
+        for size in WINDOWS:
+            starts = range(0, max(1, len(words) - size // 2), size // 2)
+            if found := [(at, at + size, *f) for at in starts if (f := self.family(words[at : at + size]))]:
+                return found
+        return []
+
+
+def _sequences(words: list[str]) -> list[tuple[str, ...]]:
+    """Three-word sequences; all words where they are fewer."""
+    return [tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+
+
+#: The sequences of each family's templates, and the first words of those of all; nothing is confirmed without one.
+SEQUENCES = {family: {q for t in templates for q in _sequences(words_of(t))} for family, templates in TEMPLATES.items()}
+TRIPLES = frozenset(q for qs in SEQUENCES.values() for q in qs if len(q) == 3)
+TAGS = {q for qs in SEQUENCES.values() for q in qs if len(q) < 3}
+TAG_WORDS = frozenset(q[0] for q in TAGS)
+
+
+def anchors(words: list[str]) -> list[int]:
+    """Where words of a template begin."""
+    out = [i for i, q in enumerate(zip(words, words[1:], words[2:], strict=False)) if q in TRIPLES]
+    return out + [i for i, w in enumerate(words) if w in TAG_WORDS] if not TAG_WORDS.isdisjoint(words) else out
+
+
+def groups(words: list[str]) -> list[tuple[int, int]]:
+    """Stretches (start, end) of words around anchors, with GAP words on each side; those that meet are one."""
+    out: list[tuple[int, int]] = []
+    for at in sorted(anchors(words)):
+        s, e = max(0, at - GAP), min(len(words), at + 3 + GAP)
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], e
+        else:
+            out.append((s, e))
+    return out
+
+
+def covered(words: list[str], family: str) -> list[tuple[int, int]]:
+    """Runs (start, end) of words in sequences of the family's templates: those that confirm it alone, or else the longest ones."""
+    known, runs = SEQUENCES[family], []
+    for i in range(len(words)):
+        for n in (3, 2):
+            if tuple(words[i : i + n]) in known:
+                if runs and i < runs[-1][1]:
+                    runs[-1] = runs[-1][0], max(runs[-1][1], i + n)
+                else:
+                    runs.append((i, i + n))
+                break
+    longest = max((e - s for s, e in runs), default=0)
+    return [r for r in runs if confirmed(words[r[0] : r[1]], family)] or [r for r in runs if r[1] - r[0] == longest] or [(0, len(words))]
+
 
 def confirmed(words: list[str], family: str) -> bool:
-    """Whether the paragraph holds enough of a template of the family."""
+    """Whether the words hold enough of a template of the family."""
     have = {tuple(words[i : i + 3]) for i in range(len(words) - 2)} | {tuple(words)}
     for template in TEMPLATES[family]:
         t = words_of(template)
@@ -256,11 +338,10 @@ def _regression(x: np.ndarray, y: np.ndarray, classes: int) -> np.ndarray:
 
 
 def scan_text(text: str | None, model: Model) -> list[tuple[str, int, int, float]]:
-    """(family, start, end, probability) of all confirmed paragraphs."""
+    """(family, start, end, probability) of all confirmed families of all paragraphs."""
     out = []
     for s, e in paragraphs(text):
-        if found := model.classify(text[s:e]):
-            out.append((found[0], s, e, found[1]))
+        out += [(family, s, e, p) for family, p in model.classify_all(text[s:e])]
     return out
 
 

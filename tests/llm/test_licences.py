@@ -47,3 +47,29 @@ def test_paragraphs_cover_all_words():
 
 def test_empty(docs):
     assert licences.scan(docs.limit(0), licences.fit(docs.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Licensed under the MIT License or the Apache License, Version 2.0", {"apache", "mit"}),
+        ("some running text " * 40 + "licensed under the Apache License, Version 2.0 and then " + "more words of a tale " * 40 + "released under the MIT License " + "to its end " * 200, {"apache", "mit"}),
+        ("Released under the MIT License. \nLicensed under CC BY-NC 4.0.\t\nPlain words", {"mit", "cc-by-nc"}),
+        ("Released under the MIT License.\r\nLicensed under CC BY-SA 4.0.\r\nPlain words\r\n", {"mit", "cc-by-sa"}),
+        ("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0", {"mit", "apache"}),
+    ],
+)
+def test_every_family_of_a_paragraph(docs, text, want):
+    assert {f for f, *_ in licences.scan_text(text, licences.fit(docs))} == want
+
+
+def test_one_notice_is_one_family(docs):
+    model = licences.fit(docs)
+    for family, templates in licences.TEMPLATES.items():
+        for t in templates:
+            assert {f for f, *_ in licences.scan_text(t, model)} <= {family}, t
+
+
+def test_lines_end_before_trailing_blanks():
+    text = "One ends here. \nTwo ends here.\r\nThree goes on\r\nto its end.\r\n"
+    assert [text[s:e].split() for s, e in licences.paragraphs(text)] == [["One", "ends", "here."], ["Two", "ends", "here."], ["Three", "goes", "on", "to", "its", "end."]]
