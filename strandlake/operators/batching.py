@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.operators.store import row_index
+from strandlake.operators.order import row_index
 
 
 def split_by_length(df: DataFrame, text: str, longest: int) -> tuple[DataFrame, DataFrame]:

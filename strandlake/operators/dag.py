@@ -5,28 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.storage import materialize
+
 RELATIONS = ("same", "parent", "child", "ancestor", "descendant", "non-related")
 
 
-def closure(terms: DataFrame, edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def closure(terms: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(term, ancestor, dist) of all ancestors and the term itself, with the least number of edges.
 
-    Paths are doubled each round and made distinct, so a DAG's many paths never
-    multiply, and rounds grow with the logarithm of the longest path.
+    Breadth first: a round extends only the pairs that the last round found, by
+    one edge, and drops those known before, so a pair is made once per way up to
+    its least distance and a DAG's many paths never multiply. Pairs whose ancestor
+    has no parents, the root's above all, take no part in the next join. Each
+    round's pairs are written. A cycle, which no ontology has, raises.
     """
-    reach = terms.select("term", F.col("term").alias("ancestor"), F.lit(0).alias("dist")).unionAll(edges.select(F.col("child").alias("term"), F.col("parent").alias("ancestor"), F.lit(1).alias("dist")))
-    reach = reach.groupBy("term", "ancestor").agg(F.min("dist").alias("dist")).persist()
-    before = reach.count()
-    for _ in range(max_rounds):
-        step = reach.select("term", F.col("ancestor").alias("mid"), F.col("dist").alias("d1")).join(reach.select(F.col("term").alias("mid"), "ancestor", F.col("dist").alias("d2")), "mid")
-        wider = step.groupBy("term", "ancestor").agg(F.min(F.col("d1") + F.col("d2")).alias("dist")).persist()
-        now = wider.count()
-        reach.unpersist()
-        reach = wider
-        if now == before:
-            return reach
-        before = now
-    raise RuntimeError("the closure did not settle; are the edges cyclic?")
+    up = materialize(edges.select("child", "parent").where("child is not null and parent is not null").distinct(), "dag-edges")
+    inner = up.select(F.col("child").alias("parent")).distinct().withColumn("more", F.lit(True))
+    step = materialize(up.join(inner, "parent", "left").select("child", "parent", F.coalesce("more", F.lit(False)).alias("more")), "dag-steps")
+    known = terms.select("term").unionAll(up.select("child")).unionAll(up.select("parent")).distinct()
+    rounds = [materialize(known.select("term", F.col("term").alias("ancestor"), F.lit(0).alias("dist")), "dag-closure")]
+    fresh = step.select(F.col("child").alias("term"), F.col("parent").alias("ancestor"), "more")
+    for dist in range(1, max_rounds + 1):
+        fresh = materialize(fresh, "dag-closure")
+        state = fresh.agg(F.count("*"), F.count_if(F.col("term") == F.col("ancestor"))).first()
+        if state[1]:
+            raise RuntimeError("the closure does not settle: the edges are cyclic")
+        if not state[0]:
+            break
+        rounds.append(fresh.select("term", "ancestor", F.lit(dist).alias("dist")))
+        wider = fresh.where("more").select("term", F.col("ancestor").alias("child")).join(step, "child").select("term", F.col("parent").alias("ancestor"), "more").distinct()
+        before = rounds[0]
+        for earlier in rounds[1:]:
+            before = before.unionAll(earlier)
+        # A pair stays at its least distance; one that ends where it began has found a cycle.
+        fresh = wider.join(before.where("dist > 0").select("term", "ancestor"), ["term", "ancestor"], "left_anti")
+    else:
+        raise RuntimeError("the closure did not settle; are the edges cyclic?")
+    out = rounds[0]
+    for part in rounds[1:]:
+        out = out.unionAll(part)
+    return out
 
 
 def relation(pairs: DataFrame, closed: DataFrame) -> DataFrame:

@@ -6,23 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandlake.operators.order import average_ranks, running_sum
+
 
 def safe(a: Column, b: Column) -> Column:
     """a / b, and 0 where b is 0 or nothing is there."""
     return F.when(F.coalesce(b, F.lit(0)) == 0, F.lit(0.0)).otherwise(a / b)
 
 
-def ranked(df: DataFrame, column: str, name: str) -> DataFrame:
-    """The rows with average ranks of a column: distinct values are counted first, and their running sum joined back."""
-    counts = df.groupBy(column).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy(column).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return df.join(counts.select(column, (before + (F.col("_n") + 1) / 2).alias(name)), column)
-
-
 def regression(df: DataFrame, truth: str, prediction: str) -> DataFrame:
     """mae, rmse, r2 (0 without variance) and Spearman's rho (0 for constants)."""
     e = F.col(truth) - F.col(prediction)
-    r = ranked(ranked(df.select(truth, prediction), truth, "_rt"), prediction, "_rp")
+    r = average_ranks(average_ranks(df.select(truth, prediction), truth, "_rt"), prediction, "_rp")
     spread = F.var_pop(truth) * F.count("*")
     constant = (F.coalesce(F.var_pop("_rt"), F.lit(0.0)) == 0) | (F.coalesce(F.var_pop("_rp"), F.lit(0.0)) == 0)
     return r.agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.when(spread == 0, 0.0).otherwise(1 - F.sum(e * e) / spread).alias("r2"), F.when(constant, 0.0).otherwise(F.corr("_rt", "_rp")).alias("spearmanr"))
@@ -54,8 +49,9 @@ def binary(counts: DataFrame) -> DataFrame:
 def curve(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Per distinct score, the highest first: cumulative tp and fp. Scores are grouped before the window."""
     g = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) != 1).alias("q"))
-    w = W.orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
-    return g.select("threshold", "p", "q", F.sum("p").over(w).alias("tp"), F.sum("q").over(w).alias("fp"))
+    tp = running_sum(g, "p", -F.col("threshold"), name="tp")
+    both = running_sum(tp, "q", -F.col("threshold"), name="fp")
+    return both.select("threshold", "p", "q", (F.col("tp") + F.col("p")).alias("tp"), (F.col("fp") + F.col("q")).alias("fp"))
 
 
 def auroc_auprc(df: DataFrame, truth: str, score: str) -> DataFrame:

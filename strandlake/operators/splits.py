@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandlake.operators.order import group_index, row_index, running_sum
+
 
 def ratios(train: float = 0.8, val: float = 0.1, test: float = 0.1) -> tuple[float, float, float]:
     """Non-negative ratios rescaled to sum to one."""
@@ -27,44 +28,43 @@ def split_sizes(n: Column, train: float = 0.8, val: float = 0.1, test: float = 0
     return F.least(n_val, F.greatest(n - 1 - n_test, F.lit(0))).cast("long"), n_test.cast("long")
 
 
-def _assign(df: DataFrame, group: list[str], id_col: str, salt: str, train: float, val: float, test: float) -> DataFrame:
-    """Splits by rank in hash order within groups: test first, then val, then train."""
-    digest = F.sha2(F.concat_ws(":", F.lit(salt), F.col(id_col).cast("string")), 256)
-    hashed = df.withColumn("_h", digest)
-    w = W.partitionBy(*group)
-    ranked = hashed.withColumn("_r", F.row_number().over(w.orderBy("_h"))).withColumn("_n", F.count("*").over(w))
-    n_val, n_test = split_sizes(F.col("_n"), train, val, test)
-    return ranked.withColumn("split", F.when(F.col("_r") <= n_test, "test").when(F.col("_r") <= n_test + n_val, "val").otherwise("train")).drop("_h", "_r", "_n")
+def _digest(salt: str, id_col: str) -> Column:
+    return F.sha2(F.concat_ws(":", F.lit(salt), F.col(id_col).cast("string")), 256)
 
 
-def hash_split(df: DataFrame, id_col: str, salt: str = "split", train: float = 0.8, val: float = 0.1, test: float = 0.1) -> DataFrame:
-    """The rows with a `split` by the order of sha256(salt:id): exact counts without one task for all rows.
+def _named(at: Column, n: Column, train: float, val: float, test: float) -> Column:
+    """The split of place `at` (from 0) among n rows: test first, then val, then train."""
+    n_val, n_test = split_sizes(n, train, val, test)
+    return F.when(at < n_test, "test").when(at < n_test + n_val, "val").otherwise("train")
 
-    Ids are hash-ordered by range partitions and numbered from the partitions' counts.
-    """
-    from strandlake.operators.store import row_index
 
+def hash_split(df: DataFrame, id_col: str, salt: str = "split", train: float = 0.8, val: float = 0.1, test: float = 0.1) -> DataFrame:
+    """The rows with a `split` by the order of sha256(salt:id): exact counts without one task for all rows."""
     if not salt:
         raise ValueError("a salt is needed")
-    hashed = df.withColumn("_h", F.sha2(F.concat_ws(":", F.lit(salt), F.col(id_col).cast("string")), 256))
-    n = df.count()
-    n_val, n_test = split_sizes(F.lit(n), train, val, test)
-    numbered = row_index(hashed, "_h")
-    at = F.col("row_index")
-    return numbered.withColumn("split", F.when(at < n_test, "test").when(at < n_test + n_val, "val").otherwise("train")).drop("_h", "row_index")
+    numbered = row_index(df, _digest(salt, id_col), name="_at")
+    n = numbered.agg(F.count("*").alias("_n"))
+    return numbered.join(F.broadcast(n), F.lit(True)).withColumn("split", _named(F.col("_at"), F.col("_n"), train, val, test)).drop("_at", "_n")  # one row
+
 
+def stratified_split(df: DataFrame, id_col: str, field: str, fallback: str, salt: str = "split", min_group: int = 10, missing: str = "none", train: float = 0.8, val: float = 0.1, test: float = 0.1) -> DataFrame:
+    """Groups of min_group rows split alone; rarer rows regroup by the fallback field, and what is left is one pool.
 
-def stratified_split(df: DataFrame, id_col: str, field: str, fallback: str, salt: str = "split", min_group: int = 10, missing: str = "none", **parts) -> DataFrame:
-    """Groups of min_group rows split alone; rarer rows regroup by the fallback field, and what is left is one pool."""
+    Groups' sizes are aggregated and joined back, and rows are numbered by range
+    partitions over (group, hash), so a group may hold most of the rows.
+    """
     if min_group < 1:
         raise ValueError("min_group must be at least 1")
-    named = df.withColumn("_a", F.coalesce(F.nullif(F.trim(field), F.lit("")), F.lit(missing))).withColumn("_b", F.coalesce(F.nullif(F.trim(fallback), F.lit("")), F.lit(missing)))
-    first = named.withColumn("_na", F.count("*").over(W.partitionBy("_a")))
-    rare = F.col("_na") < min_group
-    second = first.withColumn("_nb", F.when(rare, F.count("*").over(W.partitionBy(rare, "_b"))))
-    group = F.when(~rare, F.concat(F.lit("a:"), "_a")).when(F.col("_nb") >= min_group, F.concat(F.lit("b:"), "_b")).otherwise("pool")
-    parts = {"train": 0.8, "val": 0.1, "test": 0.1, **parts}
-    return _assign(second.withColumn("_g", group), ["_g"], id_col, salt, **parts).drop("_a", "_b", "_na", "_nb", "_g")
+    clean = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(missing))
+    named = df.withColumn("_a", clean(field)).withColumn("_b", clean(fallback))
+    # Sizes come from the small table of (stratum, fallback) counts.
+    pairs = named.groupBy("_a", "_b").agg(F.count("*").alias("_n"))
+    first = pairs.groupBy("_a").agg(F.sum("_n").alias("_na"))
+    rare = pairs.join(first, "_a").where(F.col("_na") < min_group).groupBy("_b").agg(F.sum("_n").alias("_nb"))
+    group = F.when(F.col("_na") >= min_group, F.concat(F.lit("a:"), "_a")).when(F.col("_nb") >= min_group, F.concat(F.lit("b:"), "_b")).otherwise("pool")
+    grouped = named.join(first, "_a").join(rare, "_b", "left").withColumn("_g", group).drop("_a", "_b", "_na", "_nb")
+    ranked = group_index(grouped, "_g", _digest(salt, id_col), name="_at", size="_n")
+    return ranked.withColumn("split", _named(F.col("_at"), F.col("_n"), train, val, test)).drop("_g", "_at", "_n")
 
 
 def holdout_classes(df: DataFrame, field: str, fraction: float, strategy: str = "random", salt: str = "split") -> DataFrame:
@@ -74,9 +74,9 @@ def holdout_classes(df: DataFrame, field: str, fraction: float, strategy: str =
     if strategy not in ("random", "rarest_first"):
         raise ValueError(f"unknown strategy {strategy!r}")
     order = [digest] if strategy == "random" else [F.col("n"), digest]
-    before = F.coalesce(F.sum("n").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    whole = W.partitionBy()
-    return counts.withColumn("_b", before).withColumn("_w", F.sum("n").over(whole)).where(F.col("_b") < F.greatest(F.lit(1), F.bround(F.col("_w") * fraction))).select("class")
+    summed = running_sum(counts, "n", *order)
+    whole = counts.agg(F.sum("n").alias("_w"))
+    return summed.join(F.broadcast(whole), F.lit(True)).where(F.col("before") < F.greatest(F.lit(1), F.bround(F.col("_w") * fraction))).select("class")  # one row
 
 
 def holdout_split(df: DataFrame, id_col: str, field: str, fraction: float = 0.1, strategy: str = "random", salt: str = "split", train: float = 0.8, val: float = 0.1) -> DataFrame:
@@ -95,29 +95,27 @@ def validate(df: DataFrame, id_col: str = "id", text_col: str = "sequence", spli
 
 
 def subclass_holdout(df: DataFrame, fraction: float = 0.1, salt: str = "split") -> DataFrame:
-    """(id, parent, child) rows with a `split` whose held-out children never occur in train.
+    """(id, parent, child) rows with a `split` whose held-out subclasses never occur in train.
 
-    Parents with two children or more lend children, the rarest first, until a
-    tenth of the eligible rows is test and, with three candidates, another tenth
-    val; one train child per parent stays. The choice is sequential over
-    (parent, child, count), one row per class.
+    A subclass is a (parent, child) pair. Parents with two children or more lend
+    theirs, the rarest first, then by sha256(salt:parent:child); the last one in
+    that order always stays in train. Those lent are test until `fraction` of the
+    eligible rows is reached, the crossing one included, and then val as far, where
+    there are three candidates. Other subclasses are train.
     """
-    import hashlib
-
-    counts = df.groupBy("parent", "child").count().collect()
-    by: dict = {}
-    for r in counts:
-        by.setdefault(r.parent, []).append(r)
-    eligible = [r for rows in by.values() if len(rows) >= 2 for r in rows]
-    order = sorted(eligible, key=lambda r: (r["count"], hashlib.sha256(f"{salt}:{r.child}".encode()).hexdigest()))
-    left, placed = {p: len(rows) for p, rows in by.items()}, {}
-    wanted = max(1, round(sum(r["count"] for r in eligible) * fraction))
-    for split in ("test", "val") if len(order) >= 3 else ("test",):
-        n = 0
-        for r in order:
-            if n >= wanted:
-                break
-            if r.child not in placed and left[r.parent] > 1:
-                placed[r.child], left[r.parent], n = split, left[r.parent] - 1, n + r["count"]
-    chosen = df.sparkSession.createDataFrame(list(placed.items()), "child string, _s string")
-    return df.join(chosen, "child", "left").withColumn("split", F.coalesce("_s", F.lit("train"))).drop("_s")
+    counts = df.groupBy("parent", "child").agg(F.count("*").alias("n"))
+    digest = F.sha2(F.concat_ws(":", F.lit(salt), "parent", "child"), 256)
+    order = F.struct("n", digest.alias("h"))
+    siblings = counts.groupBy("parent").agg(F.count("*").alias("_k"), F.max(order).alias("_last"))
+    eligible = counts.join(siblings, "parent").where("_k >= 2")
+    whole = eligible.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_rows"), F.count("*").alias("_candidates"))
+    lent = running_sum(eligible.where(order != F.col("_last")).select("parent", "child", "n"), "n", "n", digest)
+    wanted = F.greatest(F.lit(1), F.bround(F.col("_rows") * fraction))
+    sized = lent.join(F.broadcast(whole), F.lit(True))  # one row
+    taken = sized.where(F.col("before") < wanted).agg(F.coalesce(F.max(F.col("before") + F.col("n")), F.lit(0)).alias("_test"))
+    placed = sized.join(F.broadcast(taken), F.lit(True)).select(  # one row
+        "parent",
+        "child",
+        F.when(F.col("_rows") < 2, "train").when(F.col("before") < wanted, "test").when((F.col("_candidates") >= 3) & (F.col("before") - F.col("_test") < wanted), "val").alias("_s"),
+    )
+    return df.join(placed, ["parent", "child"], "left").withColumn("split", F.coalesce("_s", F.lit("train"))).drop("_s")

@@ -9,21 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import vec
-
-
-def row_index(df: DataFrame, key: str) -> DataFrame:
-    """Consecutive row numbers from 0 in the order of a key, without bringing all rows to one task.
-
-    Rows are range-partitioned and numbered inside partitions; the offsets come
-    from the partitions' counts, of which there are as many as partitions.
-    """
-    from pyspark.sql import Window as W
-
-    dealt = df.repartitionByRange(F.col(key)).withColumn("_p", F.spark_partition_id())
-    local = dealt.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(key)) - 1)
-    counts = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
-    starts = counts.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
-    return local.join(F.broadcast(starts), "_p").withColumn("row_index", (F.col("_s") + F.col("_r")).cast("long")).drop("_p", "_r", "_s")
+from strandlake.operators.order import row_index
+from strandlake.storage import file_system as _fs
 
 
 def state(stored: Column, live: Column, valid: Column) -> Column:
@@ -36,11 +23,6 @@ def revision(vectors: DataFrame, id_col: str = "sequence_id") -> str:
     return f"count={row[0]};max_sequence_id={row[1]}"
 
 
-def _fs(spark: SparkSession, path: str):
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
-
-
 def build(vectors: DataFrame, root: str, overwrite: bool = False) -> dict:
     """Write a generation of (row_index, sequence_id, protein_id, vector) and point to it; a current one is reused."""
     spark = vectors.sparkSession

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandlake.storage import materialize
+
 
 def normalize_id(raw: Column) -> Column:
     """Blank, nan and infinite ids become ''; integral numbers lose their fraction."""
@@ -16,25 +18,30 @@ def normalize_id(raw: Column) -> Column:
     return F.when(bad, "").when(whole, number.cast("long").cast("string")).otherwise(text)
 
 
-def closure(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(tax_id, ancestor, up) of all ancestors and the node itself (up 0), by climbing one level a round.
+def closure(nodes: DataFrame) -> DataFrame:
+    """(tax_id, ancestor, up) of all ancestors and the node itself (up 0), of any depth.
 
-    Each round joins the frontier with the parents; trees are a few dozen levels
-    deep, and a cycle ends at max_depth.
+    Paths double: the ancestor 2^k levels up comes from two steps of 2^(k-1), so
+    rounds grow with the logarithm of the depth, and each (node, ancestor) is made
+    once. Nodes on or under a cycle have no root; they keep themselves alone, at
+    depth 0. They are those that still have an ancestor beyond as many levels as
+    there are nodes.
     """
-    parents = nodes.select(F.col("tax_id").alias("ancestor"), F.col("parent_id").alias("above"))
-    frontier = nodes.select("tax_id", F.col("tax_id").alias("ancestor"))
-    levels = [frontier.withColumn("up", F.lit(0))]
-    for up in range(1, max_depth + 1):
-        frontier = frontier.join(parents, "ancestor").where("above is not null and above <> ancestor").select("tax_id", F.col("above").alias("ancestor"))
-        frontier = frontier.persist()
-        if frontier.isEmpty():
+    every = nodes.select("tax_id").distinct()
+    up = nodes.where("parent_id is not null and parent_id <> tax_id").select("tax_id", F.col("parent_id").alias("above"))
+    steps = [materialize(up.join(every.select(F.col("tax_id").alias("above")), "above", "left_semi"), "tree-steps")]
+    n = nodes.count()
+    while not steps[-1].isEmpty():
+        last = steps[-1]
+        if 1 << (len(steps) - 1) > n:  # no path is that long: what is left runs in circles
+            steps = [materialize(s.join(last, "tax_id", "left_anti"), "tree-steps") for s in steps]
             break
-        levels.append(frontier.withColumn("up", F.lit(up)))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionAll(level)
-    return out
+        steps.append(materialize(last.select("tax_id", F.col("above").alias("mid")).join(last.select(F.col("tax_id").alias("mid"), "above"), "mid").select("tax_id", "above"), "tree-steps"))
+    reach = every.select("tax_id", F.col("tax_id").alias("ancestor"), F.lit(0).alias("up"))
+    for k, far in enumerate(steps):
+        further = far.select("tax_id", F.col("above").alias("mid")).join(reach.select(F.col("tax_id").alias("mid"), "ancestor", "up"), "mid").select("tax_id", "ancestor", (F.col("up") + (1 << k)).alias("up"))
+        reach = materialize(reach.unionAll(further), "tree-closure")
+    return reach
 
 
 def depths(closed: DataFrame) -> DataFrame:

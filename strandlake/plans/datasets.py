@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.operators import align, batching
 from strandlake.operators import metrics as M
 from strandlake.operators import relational as R
+from strandlake.operators.order import average_ranks, group_index
 from strandlake.plans import vectors
 from strandlake.session import table
 from strandlake.sources import text as S
@@ -110,8 +110,7 @@ def ds_label_parse(spark, sf):
 
 @query("select lang || case when r = 1 then '' else '__dup' || (r - 1) end as id, doc_id from (select doc_id, lang, row_number() over (partition by lang order by doc_id) as r from documents)")
 def ds_dup_ids(spark, sf):
-    r = F.row_number().over(W.partitionBy("lang").orderBy("doc_id"))
-    d = table(spark, sf, "documents").select("doc_id", "lang", r.alias("r"))
+    d = group_index(table(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id", name="_at").withColumn("r", F.col("_at") + 1)
     return d.select(F.concat("lang", F.when(F.col("r") == 1, "").otherwise(F.concat(F.lit("__dup"), (F.col("r") - 1).cast("string")))).alias("id"), "doc_id")
 
 
@@ -259,7 +258,7 @@ def cmp_audit(spark, sf):
     d = knn.within(v.select(F.col("id").alias("query_id"), "vector"), v, 2.0).where("query_id <> id")
     joined = d.join(v.select(F.col("id").alias("query_id"), F.col("label").alias("q")), "query_id").join(v.select("id", "label"), "id")
     pairs = joined.select(F.round("distance", 9).alias("distance"), F.abs(F.col("q") - F.col("label")).alias("g"))
-    return M.ranked(M.ranked(pairs, "distance", "a"), "g", "b").agg(F.round(F.corr("a", "b"), 5).alias("spearman"))
+    return average_ranks(average_ranks(pairs, "distance", "a"), "g", "b").agg(F.round(F.corr("a", "b"), 5).alias("spearman"))
 
 
 @query("with c as (select label, i, avg(embedding[i]::double) as m from (select label, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings) group by 1, 2), v as (select label, list(m order by i) as m from c group by 1) select a.label as a, b.label as b, round(1 - list_cosine_similarity(a.m, b.m), 6) as distance from v a join v b on a.label < b.label")

@@ -271,7 +271,7 @@ def idx_revision(spark, sf):
 
 @query("select row_number() over (order by 'P' || vec_id) - 1 as row_index, vec_id as sequence_id, 'P' || vec_id as protein_id, cast(len(embedding) as bigint) as dim from embeddings")
 def idx_store(spark, sf):
-    from strandlake.operators.store import row_index
+    from strandlake.operators.order import row_index
 
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("sequence_id"), F.concat(F.lit("P"), F.col("vec_id").cast("string")).alias("protein_id"), F.size("embedding").cast("long").alias("dim"))
     return row_index(rows, "protein_id").select("row_index", "sequence_id", "protein_id", "dim")
@@ -302,7 +302,7 @@ def idx_protein_vectors(spark, sf):
 
 @query("select (r - 1) // 64 as batch, count(*) as n, min(vec_id) as first_id, max(vec_id) as last_id from (select vec_id, row_number() over (order by vec_id) as r from embeddings) group by 1")
 def idx_batches(spark, sf):
-    from strandlake.operators.store import row_index
+    from strandlake.operators.order import row_index
 
     rows = row_index(table(spark, sf, "embeddings").select("vec_id"), "vec_id")
     return rows.groupBy(F.floor(F.col("row_index") / 64).alias("batch")).agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"), F.max("vec_id").alias("last_id"))
