@@ -1,73 +1,43 @@
-"""Pieces that several operators share: shared storage, id-safe selection, connected components."""
+"""Pieces that several operators share: connected components, and the shared storage of the engine."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see.
-
-    The session's spark.checkpoint.dir where it is set. Where it is unset, a
-    temporary folder in local mode (tests), and the warehouse on a cluster.
-    """
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if given:
-        return given.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_strandlake"
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="strandlake-")
-        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-    return "file://" + _own[app]
-
-
-def _fs(spark: SparkSession, path: str):
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
-
+from strandlake.storage import discard, fresh_path, materialize, shared_dir
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    fs, hadoop = _fs(spark, path)
-    fs.deleteOnExit(hadoop)
-    return path
+__all__ = ["connected_components", "discard", "fresh_path", "join_unique", "materialize", "shared_dir"]
 
+#: A hub has more than a HUBS-th of all edge ends or rows, so that there are fewer than HUBS of them.
+HUBS = 1000
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read back: lineage ends there, lost executors lose nothing."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._strandlake_path = path
-    return out
 
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """A left join of `total` rows with a table of one row a key and `weight`, the key's number of rows (dropped).
 
-def discard(df: DataFrame) -> None:
-    """Remove what materialize() wrote; for generations that nothing reads any more."""
-    if path := getattr(df, "_strandlake_path", None):
-        fs, hadoop = _fs(df.sparkSession, path)
-        fs.delete(hadoop, True)
+    Keys with more than a HUBS-th of the rows, fewer than HUBS, are joined by
+    broadcast, and rows without a key aren't shuffled, so no task gets a large
+    share of the rows. The unique side's rows should be small.
+    """
+    most = max(total // HUBS, 1)
+    told = [c for c in unique.columns if c not in (key, weight)]
+    hot = F.broadcast(unique.where(F.col(weight) > most).select(key, *told, F.lit(True).alias("_hot")))
+    marked = rows.join(hot, key, "left")
+    done = F.col("_hot").isNotNull() | F.col(key).isNull()
+    left = marked.where(~done).select(*rows.columns)
+    return marked.where(done).select(*rows.columns, *told).unionAll(left.join(unique.where(F.col(weight) <= most).drop(weight), key, "left").select(*rows.columns, *told))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an edge list (u, v); component is the smallest node reachable.
 
     Alternating large-star and small-star rounds: each aggregates the smallest
-    neighbour of a node with map-side partial aggregation and joins it back, so
-    no node's neighbours are gathered in one task and the driver sees two
-    numbers per round. Null ends and loops are ignored; an empty edge list
-    gives an empty result.
+    neighbour of a node with map-side partial aggregation and joins it back. Hubs,
+    fewer than HUBS, are joined by broadcast, so no hub's neighbours meet in one
+    task; any other node has at most a HUBS-th of all edge ends. The driver sees
+    two numbers a round. Null ends and loops are ignored; an empty edge list gives
+    an empty result.
     """
     pairs = (
         edges.where("u is not null and v is not null and u <> v")
@@ -81,8 +51,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if tuple(state) == seen or state[0] == 0:
             break
         seen = tuple(state)
-        nxt = materialize(_star(_star(pairs, large=True), large=False), "edges")
+        half = materialize(_star(pairs, state[0], large=True), "edges")
+        nxt = materialize(_star(half, state[0], large=False), "edges")
         discard(pairs)
+        discard(half)
         pairs = nxt
     else:
         raise RuntimeError("components did not settle")
@@ -91,11 +63,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
 
-def _star(pairs: DataFrame, large: bool) -> DataFrame:
-    """One star step on edges with u > v."""
+def _star(pairs: DataFrame, n: int, large: bool) -> DataFrame:
+    """One star step on n edges, or fewer, with u > v."""
     around = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else pairs
-    least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    near = around.join(least, "u")
+    least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("degree"))
+    most = max(2 * n // HUBS, 1)
+    # The sum of degrees is 2 n at most, so fewer than HUBS nodes have a larger one than 2 n / HUBS.
+    hubs = F.broadcast(least.where(F.col("degree") > most).select("u", F.col("m").alias("hub")))
+    marked = around.join(hubs, "u", "left")
+    near = marked.where("hub is not null").select("u", "v", F.col("hub").alias("m")).unionAll(
+        marked.where("hub is null").select("u", "v").join(least.where(F.col("degree") <= most).select("u", "m"), "u")
+    )
     if large:  # every larger neighbour of a node moves to the smallest one
         moved = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:  # a node and its smaller neighbours move to the smallest one

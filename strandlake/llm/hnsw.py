@@ -1,19 +1,23 @@
 """Embedding near-duplicates with one navigable small-world graph per shard.
 
 Equal directions are one node: vectors are normalised in double precision and
-grouped by the bytes of the normalised vector, so thousands of copies of a
+grouped by the SHA-256 of the normalised vector, so thousands of copies of a
 vector cost one row. Nodes are dealt to shards by hash; each shard's graph is
-built in one task (at most SHARD_ROWS nodes) and written to the shared folder.
-Blocks of nodes query every shard. A query's beam doubles while its worst member
-is within the threshold, and beyond MAX_BEAM the shard is scanned exactly for
-that query, so no cap on partners loses links. A fixed share of each block's
-queries is audited against the exact scan; where recall is under AUDIT_RECALL
-the block's beams start wider, and after the last round the block is scanned
-exactly. Cosines of all links are verified in double precision.
-
-A block returns, per node and shard, the number of linked vectors, and a
-spanning forest of the links, never all pairs of a dense group. The components
-of all forests are united.
+built in one task (at most SHARD_BYTES of vectors) and written to the shared
+folder. Nodes are dealt to as many blocks, and every block queries every shard: a
+cell of the two reads the graph first and then streams the block's queries, so a
+task holds one graph and some queries whatever their number.
+
+A query's beam widens while its worst member is within the threshold, and beyond
+MAX_BEAM the shard is scanned for that query, so no cap on partners loses links.
+A fixed share of each stretch of queries is audited against a full scan before
+the others run; while the recall of the audited links is under AUDIT_RECALL the
+beams start wider, and after the last round the stretch is scanned. Scans are in
+single precision with a margin; cosines of all links are verified in double
+precision. Links go into counts and a union-find as they are found: a cell
+returns, per node, the number of linked vectors, and a spanning forest of the
+links, and never holds all pairs of a dense group. The components of all forests
+are united.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link
 with nothing, as do vectors of another length than their partner. Null ids count
@@ -34,15 +38,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import connected_components, materialize
+from strandlake.llm.common import connected_components, join_unique, materialize
 
 THRESHOLD = 0.95
-LINKS, BUILD_BEAM, BEAM, MAX_BEAM = 12, 32, 24, 256
-MIN_SHARDS, SHARD_ROWS, BLOCK_ROWS = 4, 200_000, 12_000
+LINKS, BUILD_BEAM, BEAM, MAX_BEAM, WIDEN = 12, 32, 24, 256, 4
+#: Shards of a small table, the least rows that a shard of it has, and the bytes of single-precision vectors that a shard may hold.
+MIN_SHARDS, LEAST_ROWS, SHARD_BYTES = 4, 256, 64 << 20
 AUDIT_SHARE, AUDIT_RECALL, AUDIT_ROUNDS = 50, 0.98, 3
 BATCH = 256
+#: Bytes of marks that a batch of searches may hold, queries answered together, and queries scanned together.
+SEEN_BYTES, STRETCH, SCANNED = 32 << 20, 4096, 16
+#: What single precision may be off by, at most.
+MARGIN = 1e-4
 #: Bytes of a written graph per row.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
+COUNT, LINK, FOUND, TRUE = range(4)
 
 
 def _top(sims: np.ndarray, ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,16 +61,19 @@ def _top(sims: np.ndarray, ids: np.ndarray, width: int) -> tuple[np.ndarray, np.
 
 
 class Graph:
-    """Layers of neighbour lists over unit vectors, built and searched in batches."""
+    """Layers of neighbour lists over unit vectors, built and searched in batches.
+
+    Nodes are numbered from the highest layer down; `order` has the numbers that
+    the vectors were given in.
+    """
 
     def __init__(self, vectors: np.ndarray, links: int = LINKS, beam: int = BUILD_BEAM, seed: int = 5):
-        self.vectors = vectors.astype(np.float32)
         n = len(vectors)
         rng = np.random.default_rng(seed)
         tops = np.minimum((-np.log(1 - rng.random(n)) / math.log(links)).astype(int), 8)
         self.order = np.argsort(-tops, kind="stable")  # the highest nodes first: an upper layer is a prefix
         self.levels = [int((tops >= level).sum()) for level in range(int(tops.max(initial=0)) + 1)]
-        self.vectors = self.vectors[self.order]
+        self.vectors = vectors[self.order].astype(np.float32)
         self.links = [np.full((size, links * (2 if level == 0 else 1)), -1, np.int32) for level, size in enumerate(self.levels)]
         for start in self._batches(n):
             self._insert(start, min(n, start + self._step(start)), links, beam)
@@ -171,153 +184,237 @@ class Graph:
             got = np.full(near.shape, -2.0, np.float32)
             got[r, c] = np.einsum("qd,qd->q", queries[active[r]], self.vectors[near[r, c]])
             all_sims = np.concatenate([sims[active], got], axis=1)
-            order = np.argsort(-all_sims, axis=1, kind="stable")[:, :width]
+            order = np.argpartition(-all_sims, width - 1, axis=1)[:, :width]
             sims[active] = np.take_along_axis(all_sims, order, 1)
             ids[active] = np.take_along_axis(np.concatenate([ids[active], np.where(fresh, near, -1)], axis=1), order, 1)
             done[active] = np.take_along_axis(np.concatenate([done[active], ~fresh], axis=1), order, 1)
-        return sims, ids
+        return _top(sims, ids, width)
 
     def search(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Similarities and nodes (numbers of the vectors given) of a beam of that width."""
+        """Similarities and nodes of a beam of that width, the best first."""
         n = len(self.vectors)
         entry = np.zeros(len(queries), np.int64)
         for level in range(len(self.levels) - 1, 0, -1):
             entry = self._beam(queries, entry, level, 1, self.levels[level])[1][:, 0]
-        sims, ids = self._beam(queries, entry, 0, min(width, n), n)
-        return sims, np.where(ids >= 0, self.order[np.maximum(ids, 0)], -1)
-
-
-def near_pairs(graph: Graph, exact: np.ndarray, queries: np.ndarray, threshold: float = THRESHOLD, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs with cosine of at least the threshold, by widening beams; verified in double precision."""
-    n = len(exact)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    todo, width = np.arange(len(queries)), beam
-    while len(todo) and width <= MAX_BEAM and width < n:
-        wider = []
-        for part in np.array_split(todo, max(1, len(todo) // BATCH)):
-            sims, ids = graph.search(queries[part].astype(np.float32), width)
-            full = sims[:, -1] >= threshold - 1e-5
-            wider.append(part[full])
-            r, c = np.nonzero((sims >= threshold - 1e-5) & ~full[:, None])
-            left.append(part[r])
-            right.append(ids[r, c])
-        todo, width = np.concatenate(wider), width * 2
-    for part in np.array_split(todo, max(1, len(todo) // 64)) if len(todo) else []:
-        r, c = np.nonzero(queries[part] @ exact.T >= threshold)
-        left.append(part[r])
-        right.append(c)
-    u, v = np.concatenate(left), np.concatenate(right)
-    sure = np.concatenate([np.zeros(0, bool), *(np.einsum("qd,qd->q", queries[u[i : i + 65536]], exact[v[i : i + 65536]]) >= threshold for i in range(0, len(u), 65536))])
-    return u[sure], v[sure]
-
-
-def audited_pairs(graph: Graph, exact: np.ndarray, queries: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """near_pairs() with beams wide enough that the audited queries' recall passes; else an exact scan."""
-    audited = np.arange(0, len(queries), AUDIT_SHARE)
-    truth = sum(int((queries[part] @ exact.T >= threshold).sum()) for part in np.array_split(audited, max(1, len(audited) // 64)))
-    for k in range(AUDIT_ROUNDS):
-        u, v = near_pairs(graph, exact, queries, threshold, BEAM << k)
-        if (u % AUDIT_SHARE == 0).sum() >= AUDIT_RECALL * truth:
-            return u, v
-    return near_pairs(graph, exact, queries, threshold, MAX_BEAM + 1)
-
-
-def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the edges between node ids."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[up]
-        return x
-
-    keep = np.zeros(len(u), bool)
-    for i, (a, b) in enumerate(zip(u.tolist(), v.tolist(), strict=True)):
-        if (ra := root(a)) != (rb := root(b)):
-            parent[ra] = rb
-            keep[i] = True
-    return u[keep], v[keep]
-
-
-def _unit(rows) -> tuple[list, list]:
-    """Unit vector bytes and node numbers of vectors; None where a vector links with nothing."""
-    units, nodes = [], []
-    for v in rows:
-        x = None if v is None or any(c is None for c in v) else np.asarray(v, np.float64)
-        size = 0.0
-        if x is not None and len(x) and np.isfinite(x).all():
-            big = np.abs(x).max()
-            if big > 0:
-                x = x / big
-                size = float(np.sqrt(x @ x))
-        if size > 0:
-            raw = (x / size).tobytes()
-            units.append(raw)
-            nodes.append(int.from_bytes(hashlib.sha256(raw).digest()[:8], "little", signed=True))
-        else:
-            units.append(None)
-            nodes.append(None)
-    return units, nodes
-
-
-def _units(id_col: str):
+        return self._beam(queries, entry, 0, min(width, n), n)
+
+
+def units(raw: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors in double precision."""
+    x = raw.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    x /= np.sqrt(np.einsum("nd,nd->n", x, x))[:, None]
+    return x
+
+
+class Shard:
+    """A graph with its nodes' ids, numbers of copies and vectors as they were given."""
+
+    def __init__(self, nodes: np.ndarray, copies: np.ndarray, raw: np.ndarray):
+        self.graph = Graph(units(raw).astype(np.float32))
+        order = self.graph.order
+        self.nodes, self.copies, self.raw = nodes[order], copies[order], raw[order]
+        self._index()
+
+    def _index(self) -> None:
+        self.up = np.arange(len(self.nodes))
+        self.by_id = np.argsort(self.nodes)
+
+    def dump(self) -> bytes:
+        """Without the unit vectors, which load() computes again."""
+        return pickle.dumps((self.nodes, self.copies, self.raw, self.graph.links, self.graph.levels), protocol=5)
+
+    @staticmethod
+    def load(raw: bytes) -> Shard:
+        self, self.graph = Shard.__new__(Shard), Graph.__new__(Graph)
+        self.nodes, self.copies, self.raw, self.graph.links, self.graph.levels = pickle.loads(raw)
+        self.graph.vectors = units(self.raw).astype(np.float32)
+        self._index()
+        return self
+
+    def _sure(self, queries: np.ndarray, r: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of query and node whose cosine in double precision is the threshold or more."""
+        keep = [np.einsum("qd,qd->q", queries[r[i : i + 65536]], units(self.raw[c[i : i + 65536]])) >= threshold for i in range(0, len(r), 65536)]
+        sure = np.concatenate([np.zeros(0, bool), *keep])
+        return r[sure], c[sure]
+
+    def scan(self, queries: np.ndarray, todo: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of the queries numbered `todo` by full scans, some queries at a time."""
+        for at in range(0, len(todo), SCANNED):
+            part = todo[at : at + SCANNED]
+            r, c = np.nonzero(queries[part].astype(np.float32) @ self.graph.vectors.T >= threshold - MARGIN)
+            yield self._sure(queries, part[r], c, threshold)
+
+    def pairs(self, queries: np.ndarray, beam: int, threshold: float = THRESHOLD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (query, node) of cosine `threshold` or more by widening beams, a full scan beyond MAX_BEAM; a query's pairs come together."""
+        n, todo = len(self.nodes), np.arange(len(queries))
+        batch = max(16, min(4 * BATCH, SEEN_BYTES // max(1, n)))
+        while len(todo) and beam <= MAX_BEAM and beam < n:
+            wider = []
+            for at in range(0, len(todo), batch):
+                part = todo[at : at + batch]
+                sims, ids = self.graph.search(queries[part].astype(np.float32), beam)
+                full = sims[:, -1] >= threshold - MARGIN
+                wider.append(part[full])
+                r, c = np.nonzero((sims >= threshold - MARGIN) & ~full[:, None])
+                yield self._sure(queries, part[r], ids[r, c], threshold)
+            todo, beam = np.concatenate(wider), beam * WIDEN
+        yield from self.scan(queries, todo, threshold)
+
+    def audit(self, queries: np.ndarray, threshold: float = THRESHOLD) -> tuple[int, int, int]:
+        """The beam that the queries need, found by a share of them, and how many of their links it finds of how many."""
+        some = queries[:: AUDIT_SHARE]
+        true = sum(len(r) for r, _ in self.scan(some, np.arange(len(some)), threshold))
+        for k in range(AUDIT_ROUNDS):
+            beam = BEAM << k
+            found = sum(len(r) for r, _ in self.pairs(some, beam, threshold))
+            if found >= AUDIT_RECALL * true:
+                return beam, found, true
+        return MAX_BEAM + 1, true, true
+
+    def _roots(self, at: np.ndarray) -> np.ndarray:
+        """The roots of nodes in the union-find, whose paths are cut short."""
+        root = self.up[at]
+        while True:
+            above = self.up[root]
+            if (above == root).all():
+                self.up[at] = root
+                return root
+            root = above
+
+    def answer(self, ids: np.ndarray, queries: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        """(u, v, linked, kind) columns: counts of linked vectors, a forest of links, and the audit's two numbers."""
+        linked, left, right = np.zeros(len(ids), np.int64), [], []
+        place = self.by_id[np.minimum(np.searchsorted(self.nodes, ids, sorter=self.by_id), len(self.nodes) - 1)]
+        own = np.where(self.nodes[place] == ids, place, -1)
+        beam, found, true = self.audit(queries)
+        for r, c in self.pairs(queries, beam):
+            other = c != own[r]
+            r, c = r[other], c[other]
+            if not len(r):
+                continue
+            linked += np.bincount(r, weights=self.copies[c], minlength=len(ids)).astype(np.int64)
+            order = np.argsort(r, kind="stable")
+            r, c = r[order], c[order]
+            starts = np.concatenate([[0], np.nonzero(r[1:] != r[:-1])[0] + 1, [len(r)]])
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                q, roots = r[s], np.unique(self._roots(c[s:e]))
+                if own[q] >= 0:  # the query is a node here: what is with it already needs no link
+                    home = self._roots(own[q : q + 1])[0]
+                    roots = roots[roots != home]
+                else:
+                    home = roots[0]
+                left += [ids[q]] * len(roots)
+                right += self.nodes[roots].tolist()
+                self.up[roots] = home
+        some = np.nonzero(linked)[0]
+        one = lambda x: np.array([x], np.int64)
+        return [
+            (ids[some], ids[some], linked[some], COUNT),
+            (np.array(left, np.int64), np.array(right, np.int64), np.zeros(len(left), np.int64), LINK),
+            (one(0), one(0), one(found), FOUND),
+            (one(0), one(0), one(true), TRUE),
+        ]
+
+
+def _digested(id_col: str, kind: type):
+    """Digests of unit vectors and the vectors' bytes; null where a vector links with nothing."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units, nodes = _unit(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(units, pa.binary())], names=[id_col, "node", "unit"])
+            digests, bodies, dims = [], [], []
+            for v in batch.column(1).to_pylist():
+                x = None if v is None or any(c is None for c in v) else np.asarray(v, kind)
+                if x is not None and len(x) and np.isfinite(x).all() and x.any():
+                    digests.append(hashlib.sha256(units(x[None]).tobytes()).digest())
+                    bodies.append(x.tobytes())
+                    dims.append(len(x))
+                else:
+                    digests.append(None)
+                    bodies.append(None)
+                    dims.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(bodies, pa.binary()), pa.array(dims, pa.int32())], names=[id_col, "digest", "body", "dims"])
 
     return run
 
 
-def _matrix(units) -> np.ndarray:
-    return np.frombuffer(b"".join(units), np.float64).reshape(len(units), -1)
+def _matrix(bodies, dims: int) -> np.ndarray:
+    """Vectors from their bytes, single or double precision by their length."""
+    whole = b"".join(bodies)
+    return np.frombuffer(whole, np.float32 if len(whole) == 4 * dims * len(bodies) else np.float64).reshape(len(bodies), dims)
 
 
 def _build(key, rows: pd.DataFrame) -> pd.DataFrame:
-    """A shard's graph, pickled and cut in chunks."""
+    """A shard's graph, cut in chunks."""
     rows = rows.sort_values("node")
-    exact = _matrix(rows["unit"].tolist())
-    raw = pickle.dumps((rows["node"].to_numpy(np.int64), rows["copies"].to_numpy(np.int64), exact, Graph(exact)), protocol=5)
+    raw = Shard(rows["node"].to_numpy(np.int64), rows["copies"].to_numpy(np.int64), _matrix(rows["body"].tolist(), key[0])).dump()
     parts = [raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK)]
     return pd.DataFrame({"dims": key[0], "shard": key[1], "part": range(len(parts)), "body": parts})
 
 
-def _query(key, graph: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-    """Counts of linked vectors and a forest of links between a block of nodes and a shard."""
-    names = ["u", "v", "linked"]
-    if not len(graph) or not len(rows):
-        return pd.DataFrame({n: np.zeros(0, np.int64) for n in names})
-    nodes, copies, exact, index = pickle.loads(b"".join(graph.sort_values("part")["body"]))
-    rows = rows.sort_values("node")
-    mine, queries = rows["node"].to_numpy(np.int64), _matrix(rows["unit"].tolist())
-    u, v = audited_pairs(index, exact, queries)
-    other = mine[u] != nodes[v]
-    u, v = u[other], v[other]
-    linked = np.bincount(u, weights=copies[v], minlength=len(mine)).astype(np.int64)
-    some = np.nonzero(linked)[0]
-    left, right = forest(mine[u], nodes[v])
-    counts = pd.DataFrame({"u": mine[some], "v": mine[some], "linked": linked[some]})
-    return pd.concat([counts, pd.DataFrame({"u": left, "v": right, "linked": 0})], ignore_index=True)[names]
-
-
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", min_shards: int = MIN_SHARDS, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id, n_links, component) of every vector; a linked pair has cosine of THRESHOLD or more."""
-    id_type = dict(df.dtypes)[id_col]
-    units = materialize(df.select(F.col(id_col), F.col(vector_col).cast("array<double>")).mapInArrow(_units(id_col), f"{id_col} {id_type}, node long, unit binary"), "units")
-    nodes = materialize(units.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min(id_col).alias("rep"), F.first("unit").alias("unit")).withColumn("dims", (F.octet_length("unit") / 8).cast("int")), "nodes")
-    n = nodes.count()
-    shards, blocks = max(min_shards, -(-n // shard_rows)), max(1, -(-n // block_rows))
-    graphs = materialize(
-        nodes.select("dims", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), "node", "copies", "unit").groupBy("dims", "shard").applyInPandas(_build, "dims int, shard int, part int, body binary"),
-        "graphs",
-    )
-    asked = nodes.select("dims", "node", "unit", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    sent = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers of cells in a sorted partition: a cell's graph comes first, then its queries, which are answered as they come."""
+    cell, chunks, shard, waiting = None, [], None, []
+
+    def answers(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        ids = np.array([r[0] for r in rows], np.int64)
+        for u, v, n, kind in shard.answer(ids, units(_matrix([r[1] for r in rows], cell[0]))):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(n), pa.array(np.full(len(u), kind, np.int32))], names=["u", "v", "linked", "kind"])
+
+    for batch in batches:
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)]
+        bodies = batch.column(5)
+        for i, (dims, number, block, part, node) in enumerate(zip(*(c.tolist() for c in columns), strict=True)):
+            if (dims, number, block) != cell:
+                if waiting:
+                    yield from answers(waiting)
+                cell, chunks, shard, waiting = (dims, number, block), [], None, []
+            if part >= 0 and node < 0:
+                chunks.append(bodies[i].as_py())
+                continue
+            if shard is None:
+                if not chunks:  # a shard without nodes
+                    continue
+                shard, chunks = Shard.load(b"".join(chunks)), []
+            waiting.append((node, bodies[i].as_py()))
+            if len(waiting) == STRETCH:
+                yield from answers(waiting)
+                waiting = []
+    if waiting:
+        yield from answers(waiting)
+
+
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", min_shards: int = MIN_SHARDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(id, n_links, component, audit_recall) of every vector; a linked pair has cosine of THRESHOLD or more.
+
+    audit_recall is the share of the audited queries' links that their beams
+    found, the same in every row; 1 where there were none to find.
+    """
+    types = dict(df.dtypes)
+    kind = np.float32 if types[vector_col] == "array<float>" else np.float64
+    given = df.select(F.col(id_col), F.col(vector_col).cast("array<float>" if kind is np.float32 else "array<double>"))
+    vectors = materialize(given.mapInArrow(_digested(id_col, kind), f"{id_col} {types[id_col]}, digest binary, body binary, dims int"), "vectors")
+    once = vectors.where("digest is not null").groupBy("digest").agg(F.count("*").alias("copies"), F.min(id_col).alias("rep"), F.first("body").alias("body"), F.first("dims").alias("dims"))
+    nodes = materialize(once.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    n = F.col("n")
+    dealt = nodes.groupBy("dims").agg(F.count("*").alias("n")).select("dims", F.greatest(F.ceil(n * F.col("dims") * 4 / shard_bytes), F.least(F.lit(min_shards), F.ceil(n / LEAST_ROWS))).cast("int").alias("shards"))
+    cells = dealt.agg(F.coalesce(F.sum(F.col("shards") * F.col("shards")), F.lit(1))).first()[0]
+    total = nodes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    home = lambda salt: F.pmod(F.xxhash64("digest", F.lit(salt)), F.col("shards")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
+    placed = nodes.join(dealt, "dims")
+    graphs = materialize(placed.select("dims", home(1).alias("shard"), "node", "copies", "body").groupBy("dims", "shard").applyInPandas(_build, "dims int, shard int, part int, body binary"), "graphs")
+    sent = graphs.join(dealt, "dims").select("dims", "shard", every.alias("block"), "part", F.lit(-1).cast("long").alias("node"), "body")
+    asked = placed.select("dims", every.alias("shard"), home(2).alias("block"), F.lit(1 << 30).alias("part"), "node", "body")
     keys = ["dims", "shard", "block"]
-    found = materialize(sent.groupBy(keys).cogroup(asked.groupBy(keys)).applyInPandas(_query, "u long, v long, linked long"), "links")
-    linked = found.where("u = v").groupBy(F.col("u").alias("node")).agg(F.sum("linked").alias("others"))
-    components = connected_components(found.where("u <> v"))
-    classes = nodes.select("node", "copies", "rep").join(linked, "node", "left").join(components, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "rep", F.coalesce("component", "node").alias("class"))
+    ready = sent.unionAll(asked).repartition(min(4 * cells, 1 << 15), *keys).sortWithinPartitions(*keys, "part")
+    found = materialize(ready.mapInArrow(_cells, "u long, v long, linked long, kind int"), "links")
+    linked = found.where(F.col("kind") == COUNT).groupBy(F.col("u").alias("node")).agg(F.sum("linked").alias("others"))
+    components = connected_components(found.where(F.col("kind") == LINK).select("u", "v"))
+    classes = nodes.select("digest", "node", "copies", "rep").join(linked, "node", "left").join(components, "node", "left").select("digest", "copies", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "rep", F.coalesce("component", "node").alias("class"))
     named = classes.groupBy("class").agg(F.min("rep").alias("component"))
-    by_node = classes.join(named, "class").select("node", "n_links", "component")
-    return units.select(id_col, "node").join(by_node, "node", "left").select(id_col, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", id_col).alias("component"))
+    by_digest = classes.join(named, "class").select("digest", "copies", "n_links", "component")
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("linked")).otherwise(0))
+    recall = found.agg(F.coalesce(F.try_divide(of(FOUND), of(TRUE)), F.lit(1.0)).alias("audit_recall"))
+    out = join_unique(vectors.select(F.col(id_col).alias("_id"), "digest"), by_digest, "digest", "copies", total).join(F.broadcast(recall), F.lit(True))  # one row
+    return out.select(F.col("_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "_id").alias("component"), "audit_recall")

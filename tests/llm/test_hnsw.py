@@ -34,22 +34,51 @@ def brute(rows):
     return [(i, len(js), least.get(name)) for (i, _), js, name in zip(rows, linked, names, strict=True)]
 
 
-@pytest.mark.parametrize("sizes", [{"min_shards": 3, "block_rows": 300}, {"min_shards": 1}])
-def test_matches_brute_force(spark, sizes):
+@pytest.mark.parametrize(("kind", "sizes"), [("double", {"min_shards": 3}), ("double", {"min_shards": 1}), ("double", {"min_shards": 1, "shard_bytes": 8000}), ("float", {})])
+def test_matches_brute_force(spark, kind, sizes):
     rows = vectors()
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as node", "2 as copies", "3 as n_links").repartition(4)
-    got = sorted((tuple(r) for r in hnsw.near_duplicates(df, **sizes).collect()), key=str)
-    assert got == sorted(brute(rows), key=str)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("vec_id", f"cast(embedding as array<{kind}>) as embedding", "1 as node", "2 as copies", "3 as n_links", "4 as digest").repartition(4)
+    if kind == "float":
+        rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    found = hnsw.near_duplicates(df, **sizes).collect()
+    assert sorted((tuple(r)[:3] for r in found), key=str) == sorted(brute(rows), key=str)
+    assert all(r.audit_recall >= hnsw.AUDIT_RECALL for r in found)
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def test_recall_and_no_false_pairs():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 32))
-    x = np.concatenate([x, x + rng.normal(size=x.shape) * 0.1])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    u, v = hnsw.near_pairs(hnsw.Graph(x), x, x)
+    x = unit(np.concatenate([x, x + rng.normal(size=x.shape) * 0.1]))
+    shard = hnsw.Shard(np.arange(len(x)), np.ones(len(x), np.int64), x)
+    found = {(int(q), int(shard.nodes[n])) for r, c in shard.pairs(x, hnsw.BEAM) for q, n in zip(r, c, strict=True)}
     truth = x @ x.T >= 0.95
-    assert truth[u, v].all() and len(set(zip(u.tolist(), v.tolist(), strict=True))) >= 0.97 * truth.sum()
+    assert all(truth[q, n] for q, n in found) and len(found) >= 0.97 * truth.sum()
+    again = hnsw.Shard.load(shard.dump())
+    assert {(int(q), int(again.nodes[n])) for r, c in again.pairs(x, hnsw.BEAM) for q, n in zip(r, c, strict=True)} == found
+
+
+def test_dense_cloud_never_holds_its_pairs():
+    """20,000 jittered copies of one vector: 4e8 links, a forest of 19,999."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1, 16)) + rng.normal(size=(20_000, 16)) * 0.01
+    shard = hnsw.Shard(np.arange(len(x)), np.ones(len(x), np.int64), x)
+    tracemalloc.start()
+    edges, linked = [], 0
+    for at in range(0, len(x), hnsw.STRETCH):
+        ids = np.arange(at, min(len(x), at + hnsw.STRETCH))
+        parts = shard.answer(ids, unit(x[ids]))
+        linked += int(parts[0][2].sum())
+        edges += list(zip(parts[1][0].tolist(), parts[1][1].tolist(), strict=True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert linked == 20_000 * 19_999 and len(edges) == 19_999 and len({v for e in edges for v in e}) == 20_000
+    assert peak < 400 << 20
 
 
 def test_empty(spark):
