@@ -398,12 +398,13 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     nodes = materialize(once.withColumn("node", F.monotonically_increasing_id()), "nodes")
     n = F.col("n")
     dealt = nodes.groupBy("dims").agg(F.count("*").alias("n")).select("dims", F.greatest(F.ceil(n * F.col("dims") * 4 / shard_bytes), F.least(F.lit(min_shards), F.ceil(n / LEAST_ROWS))).cast("int").alias("shards"))
-    cells = dealt.agg(F.coalesce(F.sum(F.col("shards") * F.col("shards")), F.lit(1))).first()[0]
+    shards, cells = dealt.agg(F.coalesce(F.sum("shards"), F.lit(1)), F.coalesce(F.sum(F.col("shards") * F.col("shards")), F.lit(1))).first()
     total = nodes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     home = lambda salt: F.pmod(F.xxhash64("digest", F.lit(salt)), F.col("shards")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
     placed = nodes.join(dealt, "dims")
-    graphs = materialize(placed.select("dims", home(1).alias("shard"), "node", "copies", "body").groupBy("dims", "shard").applyInPandas(_build, "dims int, shard int, part int, body binary"), "graphs")
+    # A number of partitions is given wherever work is out of proportion to bytes, which small ones are put together by.
+    graphs = materialize(placed.select("dims", home(1).alias("shard"), "node", "copies", "body").repartition(min(4 * shards, 1 << 15), "dims", "shard").groupBy("dims", "shard").applyInPandas(_build, "dims int, shard int, part int, body binary"), "graphs")
     sent = graphs.join(dealt, "dims").select("dims", "shard", every.alias("block"), "part", F.lit(-1).cast("long").alias("node"), "body")
     asked = placed.select("dims", every.alias("shard"), home(2).alias("block"), F.lit(1 << 30).alias("part"), "node", "body")
     keys = ["dims", "shard", "block"]

@@ -6,8 +6,11 @@ around its tokens in the fitting texts, plus its own. A document is the weighted
 mean of its tokens' vectors. The network's logits are divided by a temperature
 fitted on fitting rows that the network didn't see.
 
-The fit reads at most `max_fit` labelled rows (the smallest hashes of their
-ids), so model and broadcast have a fixed size; scoring reads every whole text.
+The fit reads at most `max_fit` labelled ids (the smallest hashes), one label of
+each (the smallest) and one text (the smallest digest), so that repeated ids add
+nothing. The driver gets FIT_TASKS sums of contexts of 4 * BUCKETS * DIM bytes and
+a pooled vector of DIM numbers a row; model and broadcast have a fixed size.
+Scoring reads every whole text.
 
 Null and empty texts have the zero vector and get the score that the network
 gives it. Null labels are not fitted on; with no usable labels every score is
@@ -29,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm.common import discard, materialize
+
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 48, 6, 2
 HIDDEN, EPOCHS, RATE, DECAY = 32, 300, 0.01, 1e-4
-MAX_FIT = 6000
+MAX_FIT, FIT_TASKS = 6000, 8
 THRESHOLD = 0.7
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 CACHE_WORDS = 200_000
@@ -156,38 +161,41 @@ def fit_network(x: np.ndarray, y: np.ndarray, seed: int = 11) -> tuple[tuple[np.
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_fit: int = MAX_FIT) -> Model:
     """A model from at most max_fit labelled rows outside the held-out fold."""
     usable = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).where(f"_id is not null and _y in (0, 1) and not ({held_out_sql('_id')})")
-    chosen = usable.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_fit)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")  # at most max_fit rows of 12 bytes
+    chosen = usable.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_fit)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")  # at most max_fit rows of an id and a label
+    once = texts.groupBy("_id", "_y").agg(F.min(F.struct(F.sha2("_text", 256).alias("_sha"), "_text")).alias("_t"))
+    rows = materialize(once.select(F.col("_id").cast("string").alias("_id"), "_t._text", "_y").repartition(FIT_TASKS, "_id"), "quality-fit")
     index = index_vectors().astype(np.float64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, around = Tokens(), np.zeros((BUCKETS, DIM))
         for batch in batches:
-            ids, texts, ys = (batch.column(batch.schema.get_field_index(c)) for c in ("_id", "_text", "_y"))
-            counted = []
-            for text in texts:
-                text = text.as_py()
-                counted.append(pooled_counts(text, cache))
-                line = [b for w in (text or "").encode("utf-8", "surrogatepass").split() for b in cache[w]]
+            for text in batch.column(0):
+                line = [b for w in (text.as_py() or "").encode("utf-8", "surrogatepass").split() for b in cache[w]]
                 for start in range(0, len(line), SEGMENT):
                     add_contexts(around, np.array(line[start : start + SEGMENT]), index)
-            yield pa.RecordBatch.from_arrays([ids, ys, pa.array([a.tobytes() for a, _ in counted], pa.binary()), pa.array([n.tobytes() for _, n in counted], pa.binary())], names=["id", "y", "at", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int32()), pa.array([around.astype(np.int32).tobytes()], pa.binary()), pa.array([b""], pa.binary())], names=["id", "y", "at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([around.astype(np.int32).tobytes()], pa.binary())], names=["sums"])
 
-    got = rows.select(F.col("_id").cast("long").alias("_id"), "_text", "_y").repartition(8).mapInArrow(run, "id long, y int, at binary, n binary").collect()
     around = np.zeros((BUCKETS, DIM), np.int64)
-    for r in got:
-        if r.y is None:
-            around += np.frombuffer(r["at"], np.int32).reshape(BUCKETS, DIM)
+    for r in rows.select("_text").coalesce(FIT_TASKS).mapInArrow(contexts, "sums binary").collect():
+        around += np.frombuffer(r["sums"], np.int32).reshape(BUCKETS, DIM)
     unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
     model = Model((unit(around.astype(np.float64)) + unit(index)).astype(np.float32), None, 1.0, 0.5)
-    docs_rows = sorted((r.id, bytes(r["at"]), bytes(r.n), r.y) for r in got if r.y is not None)
-    if docs_rows:
-        y = np.array([r[3] for r in docs_rows], np.float64)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = Tokens()
+        for batch in batches:
+            x = [shared.value.pool(*pooled_counts(t.as_py(), cache)).astype(np.float32).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary()), batch.column(2)], names=["id", "x", "y"])
+
+    fitting = sorted((r.id, bytes(r.x), r.y) for r in rows.select("_id", "_text", "_y").mapInArrow(pooled, "id string, x binary, y int").collect())
+    discard(rows)
+    if fitting:
+        y = np.array([r[2] for r in fitting], np.float64)
         model.prior = float(y.mean())
         if 0 < model.prior < 1:
-            x = np.array([model.pool(np.frombuffer(at, np.int32), np.frombuffer(n, np.float32)) for _, at, n, _ in docs_rows], np.float64)
-            model.layers, model.temperature = fit_network(x, y)
+            model.layers, model.temperature = fit_network(np.array([np.frombuffer(x, np.float32) for _, x, _ in fitting], np.float64), y)
     return model
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import materialize
+from strandlake.llm.common import join_unique, materialize
 
 KINDS = ("assign", "access", "hex", "live")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -42,6 +42,8 @@ ASSIGN_VALUE, ACCESS_LENGTH = 8, 16
 SHAPES = re.compile(r"gh[pousr]_[A-Za-z0-9]{30,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{20,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|[A-Za-z0-9+/_=-]{24,}")
 RANDOM_LENGTH, RANDOM_BITS = 24, 3.2
 MAX_OWNERS, MAX_REPOS = 2, 4
+#: Sets of hashes that very many texts hold are joined by broadcast where so few of their hashes are examples.
+FEW_EXAMPLES = 64
 
 CANDIDATE = "struct<start:long,kind:int,end:long,from:long,hash:string>"
 
@@ -111,26 +113,27 @@ def _held(found: Column) -> Column:
 
 
 def copied_examples(found: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
-    """(held, examples): of each set of hashes that texts hold, those that too many owners or repositories have."""
+    """(held, examples, n): of each set of hashes that texts hold, those that too many owners or repositories have, and its texts."""
     some = found.select("owner", "repo", _hashes(F.col("found")).alias("hashes"), _held(F.col("found")).alias("held")).where("held is not null")
     owned = some.select(F.explode("hashes").alias("hash"), F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo")).distinct()
     copied = owned.groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos")).where((F.col("owners") > max_owners) | (F.col("repos") > max_repos))
-    sets = some.groupBy("held").agg(F.first("hashes").alias("hashes")).select("held", F.explode("hashes").alias("hash"))
-    return sets.join(copied, "hash").groupBy("held").agg(F.sort_array(F.collect_list("hash")).alias("examples"))
+    sets = some.groupBy("held").agg(F.first("hashes").alias("hashes"), F.count("*").alias("n")).select("held", "n", F.explode("hashes").alias("hash"))
+    return sets.join(copied, "hash").groupBy("held").agg(F.sort_array(F.collect_list("hash")).alias("examples"), F.first("n").alias("n"))
 
 
-def _with_examples(rows: DataFrame, examples: DataFrame, spread: Column) -> DataFrame:
-    """The rows with the examples of their set `held`. Rows without candidates match nothing; keys of their own keep them from meeting in one task."""
-    keyed = rows.withColumn("held", F.coalesce("held", F.concat(F.lit("none-"), spread.cast("string"))))
-    return keyed.join(examples, "held", "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>"))).drop("held")
+def _with_examples(rows: DataFrame, found: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
+    """The rows with the examples of their set `held`; rows without candidates are not shuffled."""
+    examples = materialize(copied_examples(found, max_owners, max_repos), "examples")
+    weight = F.when(F.size("examples") <= FEW_EXAMPLES, F.col("n")).otherwise(0)
+    joined = join_unique(rows, examples.withColumn("n", weight), "held", "n", found.where(F.size("found") > 0).count())
+    return joined.withColumn("examples", F.coalesce("examples", F.array().cast("array<string>"))).drop("held")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repo: Column | None = None, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """(id, found, examples) of every row: its candidates, and the hashes among them that are copied examples."""
     found = _owned(docs, id_col, text_col, owner, repo)
-    rows = found.select("id", "owner", "repo", "found", _held(F.col("found")).alias("held"))
-    marked = _with_examples(rows, copied_examples(found, max_owners, max_repos), F.xxhash64("id", "owner", "repo"))
-    return marked.select(F.col("id").alias(id_col), "found", "examples")
+    rows = found.select("id", "found", _held(F.col("found")).alias("held"))
+    return _with_examples(rows, found, max_owners, max_repos).select(F.col("id").alias(id_col), "found", "examples")
 
 
 def spans_text(found: Column) -> Column:
@@ -156,23 +159,47 @@ def report(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
+def masked(text: str, spans: list[tuple[int, int]], mask: str) -> str:
+    """The text with the union of spans (start, end) masked; spans that overlap or touch are one."""
+    out, at = [], 0
+    joined: list[list[int]] = []
+    for s, e in sorted(spans):
+        if joined and s <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], e)
+        else:
+            joined.append([s, e])
+    for s, e in joined:
+        out += [text[at:s], mask]
+        at = e
+    return "".join([*out, text[at:]])
+
+
+def _masker(mask: str):
+    def run(texts: pa.Array, found: pa.Array, examples: pa.Array) -> pa.Array:
+        out = []
+        for text, spans, copied in zip(texts, found.to_pylist(), examples.to_pylist(), strict=True):
+            known, text = frozenset(copied or ()), text.as_py()
+            live = [(c["from"], c["end"]) for c in spans or () if c["hash"] not in known]
+            out.append(masked(text, live, mask) if live else text)
+        return pa.array(out, pa.string())
+
+    return run
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", owner: Column | None = None, repo: Column | None = None, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
-    """The rows, with all their columns, whose live-looking secrets' values are masked; copied examples stay."""
-    examples = copied_examples(_owned(docs, id_col, text_col, owner, repo), max_owners, max_repos)
+    """The rows, with all their columns, whose live-looking secrets' values are masked; copied examples stay.
+
+    Overlapping values are masked as one. Texts are scanned once: the rows with
+    candidates are written with them, and only these take part in a join.
+    """
+    owner = F.col("source") if owner is None else owner
+    repo = F.concat_ws("/", "source", "lang") if repo is None else repo
     find_all = F.arrow_udf(_candidate_column, f"array<{CANDIDATE}>")
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("_text")).withColumn("found", find_all("_text"))
-    # Texts without candidates, nearly all, are passed on as they are and take no part in the join's shuffle.
-    clean = rows.where(F.size("found") == 0).select("row", F.col("_text").alias("_masked"))
-    marked = rows.where(F.size("found") > 0).withColumn("held", _held(F.col("found"))).join(examples, "held", "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
-    live = F.filter("found", lambda c: ~F.array_contains(F.col("examples"), c["hash"]))
-    # From the last span to the first, so that offsets before stay right; a span that reaches into one masked before is part of it.
-    state = F.aggregate(
-        F.reverse(F.array_sort(F.transform(live, lambda c: F.struct(c["from"].alias("s"), c["end"].alias("e"))))),
-        F.struct(F.col("_text").alias("t"), F.lit(1 << 40).cast("long").alias("least")),
-        lambda a, c: F.struct(
-            F.when(c["e"] <= a["least"], F.concat(F.substring(a["t"], F.lit(1), c["s"].cast("int")), F.lit(mask), F.substring(a["t"], (c["e"] + 1).cast("int"), F.length(a["t"])))).otherwise(a["t"]).alias("t"),
-            F.when(c["e"] <= a["least"], c["s"]).otherwise(a["least"]).alias("least"),
-        ),
-    )["t"]
-    masked = clean.unionAll(marked.select("row", F.when(F.size(live) > 0, state).otherwise(F.col("_text")).alias("_masked")))
-    return masked.select(*(F.col("_masked").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    rows = docs.select(F.struct("*").alias("row"), owner.cast("string").alias("owner"), repo.cast("string").alias("repo"), F.col(text_col).alias("_text"))
+    found = materialize(rows.withColumn("found", find_all("_text")).drop("_text"), "secrets")
+    some = F.size("found") > 0
+    marked = _with_examples(found.where(some).select("row", "found", _held(F.col("found")).alias("held")), found, max_owners, max_repos)
+    hide = F.arrow_udf(_masker(mask), "string")
+    hidden = marked.select("row", hide(F.col(f"row.`{text_col}`"), "found", "examples").alias("_masked"))
+    out = found.where(~some).select("row", F.col(f"row.`{text_col}`").alias("_masked")).unionAll(hidden)
+    return out.select(*(F.col("_masked").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

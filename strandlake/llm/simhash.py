@@ -14,10 +14,11 @@ the codeword of its segment and looked up under the codewords of that segment
 with no or one bit turned (six on average, 12 bits each), so a pair with one
 error meets under the index key of either side.
 
-Keys with more rows than a block are split: index rows go to one of the key's
-salts, look-up rows to all of them, and runs are compared in blocks. Within a
-run only a spanning forest of its links is emitted, so a large group of near
-copies never becomes all its pairs. Exact copies share one fingerprint row.
+Keys with more rows than a block are a grid: an index row has one row of it, a
+look-up row one column, and each cell is a run of its own, so a run holds about
+two blocks at most. A key of n rows costs n / BLOCK copies of a row and no more.
+Within a run only a spanning forest of its links is emitted, so a large group of
+near copies never becomes all its pairs. Exact copies share one fingerprint row.
 
 Null and empty texts, and texts without words, have the fingerprint zero and are
 linked like any other. Null ids are never a component's name unless a component
@@ -38,8 +39,10 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import connected_components, materialize
 
 SEED, DISTANCE, SHINGLE = 42, 3, 3
-#: Rows of a key that one comparison run holds; keys with more are salted.
-BLOCK = 4096
+#: Fingerprints (eight bytes each) of a key in a row or column of its grid.
+BLOCK = 1 << 16
+#: What a row of a run is for.
+LOOKUP, INDEX, BOTH = range(3)
 
 # Golay (23,12,7): generator polynomial x^11+x^10+x^6+x^5+x^4+x^2+1.
 GENERATOR, CHECK_BITS, CODE_BITS = 0b110001110101, 11, 23
@@ -147,12 +150,14 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(some[row]), pa.array(index)], names=["key", "fp", "indexed"])
 
 
-def forest(fps: np.ndarray, indexed: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between index rows and all rows of a run."""
+def forest(fps: np.ndarray, roles: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between index rows and look-up rows of a run."""
     label = np.arange(len(fps))
+    asked = np.nonzero(roles != INDEX)[0]
+    seen = fps[asked]
     left, right = [], []
-    for i in np.nonzero(indexed)[0]:
-        linked = np.nonzero(np.bitwise_count(fps ^ fps[i]) <= distance)[0]
+    for i in np.nonzero(roles != LOOKUP)[0]:
+        linked = asked[np.bitwise_count(seen ^ fps[i]) <= distance]
         other, first = np.unique(label[linked], return_index=True)
         apart = other != label[i]
         if apart.any():
@@ -163,9 +168,9 @@ def forest(fps: np.ndarray, indexed: np.ndarray, distance: int = DISTANCE) -> tu
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forests of the runs of equal (key, salt) in a sorted partition; a run is carried over batch ends."""
+    """Forests of the runs of equal (key, cell) in a sorted partition; a run is carried over batch ends."""
 
-    def runs(key, salt, fp, indexed, last):
+    def runs(key, salt, fp, role, last):
         starts = np.concatenate([[0], np.nonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1]))[0] + 1])
         ends = np.concatenate([starts[1:], [len(key)]])
         if not last:
@@ -174,8 +179,8 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest = len(key)
         left, right = [], []
         for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-            if indexed[s:e].any():
-                u, v = forest(fp[s:e], indexed[s:e])
+            if (role[s:e] != LOOKUP).any():
+                u, v = forest(fp[s:e], role[s:e])
                 left.append(u)
                 right.append(v)
         pick = lambda parts: np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
@@ -197,17 +202,16 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links (u, v) that join all distinct fingerprints `fp` within DISTANCE bits of one another into their components."""
     keyed = distinct.select("fp").mapInArrow(_keyed, "key long, fp long, indexed boolean")
-    hot = keyed.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("salts"))
-    salted = keyed.join(hot, "key", "left").select(
-        "key",
-        "fp",
-        "indexed",
-        F.coalesce("salts", F.lit(1)).alias("salts"),
-        F.pmod(F.xxhash64("fp"), F.coalesce("salts", F.lit(1))).cast("int").alias("home"),
-    )
-    dealt = salted.select("key", F.explode(F.when(F.col("salts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))).alias("salt"), "fp", "indexed", "home")
-    ready = dealt.select("key", "salt", "fp", (F.col("indexed") & (F.col("salt") == F.col("home"))).alias("indexed"))
-    return ready.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_linked, "u long, v long")
+    # At most one hot key for each BLOCK rows.
+    hot = keyed.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("side"))
+    salted = keyed.join(hot, "key", "left").select("key", "fp", "indexed", F.coalesce("side", F.lit(1)).alias("side"))
+    home = F.pmod(F.xxhash64("fp"), F.col("side")).cast("int")
+    every = F.sequence(F.lit(0), F.col("side") - 1)
+    across = F.transform(every, lambda b: F.struct((home * F.col("side") + b).alias("cell"), F.when(b == home, BOTH).otherwise(INDEX).alias("role")))
+    down = F.transform(every, lambda a: F.struct((a * F.col("side") + home).alias("cell"), F.lit(LOOKUP).alias("role")))
+    cells = F.when(F.col("indexed"), F.concat(across, F.filter(down, lambda c: c["cell"] != home * F.col("side") + home))).otherwise(down)
+    ready = salted.select("key", "fp", F.explode(cells).alias("c")).select("key", "c.cell", "fp", "c.role")
+    return ready.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_linked, "u long, v long")
 
 
 def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:

@@ -41,7 +41,28 @@ def test_rates_meet_targets(tables):
     by = {r.doc_id: r for r in rows}
     assert by[900].n_tokens == by[901].n_tokens == 0 and by[900].rate == by[901].rate and by[902].n_tokens == 100_000
     right = [max(("clean", "toxic", "low"), key=lambda k: by[i][f"p_{k}"]) == ("low" if i % 8 == 0 else "toxic" if i % 8 == 1 else "clean") for i in range(400)]
-    assert sum(right) > 380
+    assert sum(right) > 380 and {r.target_gap <= 1e-6 for r in rows} == {True}
+
+
+def test_two_labelled_documents_of_a_domain(spark, tables):
+    """A tiny domain's target is met, or the gap is told."""
+    docs, labels, _ = tables
+    few = labels.where("quality = 1").unionAll(labels.where("quality = 0 and doc_id is not null").orderBy("doc_id").limit(2))
+    shares = {"clean": 0.6, "toxic": 0.1, "low": 0.3}
+    rows = mixing.rates(docs, few, lambda names: mixing.share_targets(shares, names)).collect()
+    p = np.array([[r.p_clean, r.p_toxic, r.p_low] for r in rows])
+    tokens, rate = np.array([r.n_tokens for r in rows]), np.array([r.rate for r in rows])
+    gap = np.abs((rate * tokens) @ p / tokens.sum() - list(shares.values())).max()
+    assert rows[0].target_gap == pytest.approx(gap, abs=1e-6) and gap <= 1e-5
+
+
+def test_repeated_ids_fit_one_text(spark, tables):
+    docs, labels, _ = tables
+    many = docs
+    for _ in range(3):
+        many = many.unionAll(many)
+    a, b = mixing.fit_classifier(docs, labels), mixing.fit_classifier(many, labels.unionAll(labels))
+    assert a.weights == b.weights and a.prior == b.prior
 
 
 def test_projection_handles_unreachable_targets(tables):
@@ -52,6 +73,8 @@ def test_projection_handles_unreachable_targets(tables):
     tokens, rate = np.array([r.n_tokens for r in rows]), np.array([r.rate for r in rows])
     shares = (rate * tokens) @ p / tokens.sum()
     assert abs(shares[0] - 1) < 0.1 and shares[1:].max() < 0.06
+    # What is left of the targets stands in every row.
+    assert len({r.target_gap for r in rows}) == 1 and rows[0].target_gap == pytest.approx(np.abs(shares - np.array([1, 0, 0])).max(), abs=1e-6) and rows[0].target_gap > mixing.TOLERANCE
 
 
 def test_resample_keeps_columns(tables):
@@ -94,7 +117,7 @@ def test_tiny_domains_keep_their_targets(spark, toxic, low):
     p = [mixing.F.col(f"_p{k}") for k in range(3)]
     given = [mixing.share_targets({"clean": 0.85, "toxic": 0.05, "low": 0.10}, names)] * bool(low) + [mixing.factor_targets({"clean": 1.1, "toxic": 0.3, "low": 1.1}, names)]
     for targets in given:
-        rows = scored.withColumn("rate", mixing.rate_column(p, mixing.fit_rates(scored, targets))).collect()
+        rows = scored.withColumn("rate", mixing.rate_column(p, mixing.fit_rates(scored, targets).steps)).collect()
         post, rate = np.array([r[1:4] for r in rows]), np.array([r.rate for r in rows])
         wanted = targets((100 * post).sum(axis=0).tolist())
         assert (rate >= 0).all() and np.allclose(100 * rate @ post, wanted, rtol=0, atol=1e-6 * sum(wanted))

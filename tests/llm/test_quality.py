@@ -45,3 +45,12 @@ def test_without_usable_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.classify(d, quality.fit(d, none)).first().score == 0.5
     assert quality.classify(d.limit(0), quality.fit(d.limit(0), none)).count() == 0
+
+
+def test_string_ids_and_repeated_ids(spark):
+    docs, labels = corpus(200)
+    d = spark.createDataFrame([(f"d{i}", t) for i, t in docs], "doc_id string, text string")
+    lab = spark.createDataFrame([(f"d{i}", g) for i, g, _ in labels], "doc_id string, quality int")
+    many = d.unionAll(d).unionAll(d)
+    a, b = quality.fit(d, lab), quality.fit(many, lab.unionAll(lab))
+    assert {(r.doc_id, r.score) for r in quality.classify(d, a).collect()} == {(r.doc_id, r.score) for r in quality.classify(d, b).collect()}

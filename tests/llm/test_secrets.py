@@ -60,3 +60,23 @@ def test_redact(spark):
     texts = {r.doc_id: r.text for r in got.collect()}
     assert texts[10] == "my [SECRET] here é [SECRET]" and COPIED in texts[3] and texts[None] == "password: [SECRET]"
     assert texts[12].endswith("secret=[SECRET]") and len(texts[12]) == 500_000 + len("secret=[SECRET]")
+
+
+PARTS = ["password = ", "token:", "abc-", HEX40, HEX40[:33] + "_", LIVE, "AKIA" + "Q7" * 9, " ", "\n", "é", "-", "=", "xoxb-1234567890-abcdefghij", "secret=AKIA" + "B2" * 9]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=14).map("".join))
+def test_masks_are_the_union_of_values(text):
+    """Against a mask per character: nested, overlapping, touching and repeated values."""
+    spans = [(c["from"], c["end"]) for c in secrets.candidates(text)]
+    hidden = [any(s <= i < e for s, e in spans) for i in range(len(text))]
+    want = "".join(c if not h else "[SECRET]" if i == 0 or not hidden[i - 1] else "" for i, (c, h) in enumerate(zip(text, hidden, strict=True)))
+    assert secrets.masked(text, spans, "[SECRET]") == want
+
+
+def test_redact_nested_and_repeated(spark):
+    nested = "password = abc-0123456789abcdef0123456789abcdef"
+    rows = [(1, nested, "en", "a"), (2, f"{nested} {nested}", "en", "a"), (3, "token=" + "k" * 40 + HEX40, "en", "b"), (4, None, "en", "b")]
+    got = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got == {1: "password = [SECRET]", 2: "password = [SECRET] password = [SECRET]", 3: "token=[SECRET]", 4: None}

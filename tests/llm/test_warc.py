@@ -37,7 +37,19 @@ def test_empty(spark):
     assert warc.archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_record_bytes_parse():
+def test_records_of_a_serial_file():
     header = warc.header_bytes(3, "http://a", "revisit", 8, 2, "AB")
-    fields, payload = warc.parse_record(warc.record_bytes(header, b"xy"))
-    assert payload == b"xy" and fields["WARC-Refers-To"] == "<urn:page:8>"
+    fields, block = warc.parse_record(warc.record_bytes(header, b""))
+    assert block == b"" and fields["WARC-Refers-To"] == "<urn:page:8>" and fields["Content-Length"] == "0"
+    fields, block = warc.parse_record(warc.record_bytes(warc.header_bytes(8, "http://a", "response", None, 2, "AB"), b"xy"))
+    assert block == b"xy" and "WARC-Refers-To" not in fields
+
+
+def test_hot_payload_and_repeated_ids(spark):
+    """A third of 6,000 rows share a payload and a third one id and payload."""
+    rows = [(i, None, "hot") if i % 3 == 0 else (7, "u", "same") if i % 3 == 1 else (i, "u", f"own {i}") for i in range(6000)]
+    got = warc.archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)).collect()
+    kinds = {}
+    for r in got:
+        kinds[r.record_type] = kinds.get(r.record_type, 0) + 1
+    assert len(got) == 6000 and kinds == {"response": 4001, "revisit": 1999} and {r.refers_to for r in got} == {None, 5997}
