@@ -2,24 +2,24 @@
 
 Sparse word n-grams (one to three words) of licence templates are the features
 of a softmax regression over licence families and an unknown class. It is
-trained here on damaged copies of the templates and on look-alike and corpus
-paragraphs (at most `max_negatives` documents, the smallest hashes of their
-ids); a temperature and the least probability of a family are set on rows that
-the fit didn't see. A prediction counts where the words also hold enough of a
-template of that family, in order.
+trained here on damaged copies of the templates, and for the unknown class on
+look-alikes, their damaged copies and scattered licence words; it reads nothing
+of the corpus, so every corpus gets the same model. A temperature and the least
+probability of a family are set on whole templates and look-alikes that a fit
+hasn't seen: each of FOLDS fits leaves a part of them out. A prediction counts
+where the words also hold enough of a template of that family, in order.
 
 Paragraphs are lines; a line that ends without a full stop is joined with the
-next one (hard-wrapped notices). A paragraph has every family that is found in
+next one (hard-wrapped notices). A paragraph has every notice that is found in
 it: the whole paragraph is classified, then overlapping windows of its words
-around template sequences. What a found notice covers is left out, and the words
-on both sides are searched in the same way. Null and empty texts have no
-paragraphs. Repeated rows and null ids give a row each, an empty table an empty
-result; other columns are ignored.
+around template sequences. What a found notice covers is its span; it is left
+out, and the words on both sides are searched in the same way. Null and empty
+texts have no paragraphs. Repeated rows and null ids give a row each, an empty
+table an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,10 +27,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Notices of licence families as they are usually worded.
-TEMPLATES = {
+NOTICES = {
     "apache": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
@@ -85,11 +84,63 @@ TEMPLATES = {
         "This work has been released into the public domain.",
         "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0.",
     ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ),
+    "epl": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
+    "boost": (
+        "Distributed under the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
+    ),
+    "zlib": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Released under the zlib License.",
+        "SPDX-License-Identifier: Zlib",
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Released under the Unlicense.",
+        "SPDX-License-Identifier: Unlicense",
+    ),
+    "odbl": (
+        "This database is made available under the Open Database License.",
+        "Any rights in individual contents of the database are licensed under the Database Contents License.",
+        "SPDX-License-Identifier: ODbL-1.0",
+    ),
     "proprietary": (
+        "All rights reserved.",
         "All rights reserved. No part of this publication may be reproduced without prior written permission.",
         "Copyright notice: all rights reserved.",
     ),
 }
+#: Names of licences, which stand in short notices of the wordings below.
+NAMES = {
+    "apache": ("the Apache License, Version 2.0", "the Apache 2.0 license", "the Apache License"),
+    "mit": ("the MIT License", "the MIT/X11 license", "an MIT-style license"),
+    "bsd": ("the BSD 3-Clause License", "the BSD 2-Clause license", "the BSD license"),
+    "gpl": ("the GNU General Public License, version 3", "the GPL version 2 or later", "the GNU GPL v3", "the GPLv3"),
+    "lgpl": ("the GNU Lesser General Public License, version 2.1", "the LGPL version 3", "the GNU LGPL"),
+    "agpl": ("the GNU Affero General Public License, version 3", "the AGPL version 3", "the GNU AGPL"),
+    "mpl": ("the Mozilla Public License 2.0", "the MPL 2.0"),
+    "cc-by": ("CC BY 4.0", "a Creative Commons Attribution 4.0 International License"),
+    "cc-by-sa": ("CC BY-SA 4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "cc-by-nc": ("CC BY-NC 4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "isc": ("the ISC License", "an ISC-style license"),
+    "epl": ("the Eclipse Public License 2.0", "the EPL 2.0"),
+    "boost": ("the Boost Software License, Version 1.0", "the Boost license"),
+    "zlib": ("the zlib License", "the zlib/libpng license"),
+    "unlicense": ("the Unlicense", "the Unlicense license"),
+    "odbl": ("the Open Database License", "the ODbL 1.0"),
+}
+WORDINGS = ("Licensed under {}.", "Released under {}.", "This project is licensed under {}.", "Distributed under the terms of {}.", "This work is made available under {}.")
+#: All templates of each family.
+TEMPLATES = {family: tuple(dict.fromkeys([*notices, *(w.format(name) for name in NAMES.get(family, ()) for w in WORDINGS)])) for family, notices in NOTICES.items()}
 #: Sentences with licence words that license nothing.
 LOOKALIKES = (
     "The driver lost his license after the accident last week.",
@@ -101,18 +152,44 @@ LOOKALIKES = (
     "Redistribution of income is the source of many forms of use.",
     "You may not use this door except in case of fire.",
     "All seats are reserved for the members of the foundation.",
+    "The permission to build on this land was granted free of charge by the town.",
+    "Copies of the letter were made and distributed to any person in the room.",
+    "The work was released to the public in the spring of the third year.",
+    "No part of the old wall may be removed without written notice.",
+    "In no event did the authors of the report claim any damages.",
+    "The source of the river and the form of the valley are subject to change.",
+    "The conditions are met when redistribution and use of water are permitted.",
+    "An open database of birds was made available to the members of the society.",
+    "The software is provided with a printed manual and a warranty of two years.",
+    "He waived all rights to the house, and the neighbours reserved the garden.",
+    "This program is published by the local theatre and modified every week.",
+    "A general public meeting on the terms of the new law is held on Monday.",
+    "The eclipse was seen by the public in version after version of the tale.",
+    "International trade and attribution of the painting remain under dispute.",
+    "The commons is creative ground, licensed by the council for markets.",
+    "Boost your software sales, said the notice above the door of the shop.",
 )
+#: Words of ordinary sentences, which stand around notices in training.
+FILLER = (
+    "a about after again all almost along also always and another any are around as at away back be because been before began below between both but by came can child children city close come could day did different do door down each earth "
+    "end enough even every eye far father feet few find first follow food for found from garden gave get girl give go good great grow had hand hard has have he head hear help her here high him his home house how if important in into is it its "
+    "just keep kind know land large last late learn leave left letter life light like line little live long look made make man many may me mean men might mile more morning most mother mountain move much must my name near need never new next night no "
+    "now number of off often old on once one only open or other our out over own page paper part people place plant play point press read right river road room run said same saw say school sea second see seem sentence set she should show side "
+    "small so some something sometimes song soon sound spell stand start state still stop story study such take talk tell than that the their them then there these they thing think this those thought three through time to together too took tree turn "
+    "two under until up us use very walk want was watch water way we well went were what when where which while white who why will with without word work world would write year you young your"
+).split()
 
 UNKNOWN = "unknown"
 WORD = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
-COPIES, STEPS, DECAY = 60, 250, 1e-4
-MAX_NEGATIVES, NEGATIVE_LINES = 400, 4
+COPIES, STEPS, FOLD_STEPS, DECAY = 16, 250, 120, 1e-4
+FOLDS = 3
+TEMPERATURES = (0.3, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 4.0)
 #: Least share of a template's three-word sequences that a confirmed paragraph holds.
 CONFIRM = 0.5
-FALSE_RATE = 0.002
+FALSE_RATE, LEAST, MOST = 0.002, 0.3, 0.9
 OPEN_LINE = re.compile(r"[^.!?:;\s]\s*$")
 #: Lengths in words of the windows of a paragraph; they overlap by half. Stretches without template sequences of GAP words part the windows' groups.
-WINDOWS, GAP = (48, 24, 12, 6), 12
+WINDOWS, GAP = (48, 24, 12, 6, 2), 12
 
 
 def words_of(paragraph: str) -> list[str]:
@@ -187,26 +264,26 @@ class Model:
             return None
         return self.families[best], float(p[best])
 
-    def classify_all(self, paragraph: str) -> list[tuple[str, float]]:
-        """All confirmed families of a paragraph with their largest probabilities, most probable first."""
-        words = words_of(paragraph)
-        out: dict[str, float] = {}
-        parts = [words] if anchors(words) else []
+    def classify_all(self, words: list[str]) -> list[tuple[int, int, str, float]]:
+        """(start, end, family, probability) of all notices among a paragraph's words, in order."""
+        out: list[tuple[int, int, str, float]] = []
+        parts = [(0, len(words))] if anchors(words) else []
         while parts:
-            part = parts.pop()
+            at, stop = parts.pop()
+            part = words[at:stop]
             whole = self.family(part)
             for s, e in [(0, len(part))] if whole else groups(part):
-                piece = part[s:e]
-                cut = []
+                piece, cut = part[s:e], []
                 for start, end, family, p in [(0, len(piece), *whole)] if whole else self._windows(piece):
-                    out[family] = max(p, out.get(family, 0.0))
-                    cut += [(start + a, start + b) for a, b in covered(piece[start:end], family)]
-                at = 0
+                    for a, b in covered(piece[start:end], family):
+                        cut.append((start + a, start + b))
+                        out.append((at + s + start + a, at + s + start + b, family, p))
+                done = 0
                 for a, b in sorted(cut) + [(len(piece), len(piece))] * bool(cut):
-                    if at < a and anchors(piece[at:a]):
-                        parts.append(piece[at:a])
-                    at = max(at, b)
-        return sorted(out.items(), key=lambda x: (-x[1], x[0]))
+                    if done < a and anchors(piece[done:a]):
+                        parts.append((at + s + done, at + s + a))
+                    done = max(done, b)
+        return _merged(out)
 
     def _windows(self, words: list[str]) -> list[tuple[int, int, str, float]]:
         """(start, end, family, probability) of the windows with a confirmed family, of the largest length that has any."""
@@ -217,6 +294,17 @@ class Model:
         return []
 
 
+def _merged(found: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+    """Notices of one family that overlap, in windows that do, are one."""
+    out: list[tuple[int, int, str, float]] = []
+    for start, end, family, p in sorted(found, key=lambda x: (x[2], x[0], x[1])):
+        if out and out[-1][2] == family and start < out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1]), family, max(p, out[-1][3])
+        else:
+            out.append((start, end, family, p))
+    return sorted(out)
+
+
 def _sequences(words: list[str]) -> list[tuple[str, ...]]:
     """Three-word sequences; all words where they are fewer."""
     return [tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
@@ -229,6 +317,10 @@ TAGS = {q for qs in SEQUENCES.values() for q in qs if len(q) < 3}
 TAG_WORDS = frozenset(q[0] for q in TAGS)
 
 
+#: The sequences and the words of each template.
+WANTED = {family: [(frozenset(_sequences(words_of(t))), frozenset(words_of(t))) for t in templates] for family, templates in TEMPLATES.items()}
+
+
 def anchors(words: list[str]) -> list[int]:
     """Where words of a template begin."""
     out = [i for i, q in enumerate(zip(words, words[1:], words[2:], strict=False)) if q in TRIPLES]
@@ -253,10 +345,11 @@ def covered(words: list[str], family: str) -> list[tuple[int, int]]:
     for i in range(len(words)):
         for n in (3, 2):
             if tuple(words[i : i + n]) in known:
+                end = min(i + n, len(words))
                 if runs and i < runs[-1][1]:
-                    runs[-1] = runs[-1][0], max(runs[-1][1], i + n)
+                    runs[-1] = runs[-1][0], max(runs[-1][1], end)
                 else:
-                    runs.append((i, i + n))
+                    runs.append((i, end))
                 break
     longest = max((e - s for s, e in runs), default=0)
     return [r for r in runs if confirmed(words[r[0] : r[1]], family)] or [r for r in runs if r[1] - r[0] == longest] or [(0, len(words))]
@@ -265,12 +358,7 @@ def covered(words: list[str], family: str) -> list[tuple[int, int]]:
 def confirmed(words: list[str], family: str) -> bool:
     """Whether the words hold enough of a template of the family."""
     have = {tuple(words[i : i + 3]) for i in range(len(words) - 2)} | {tuple(words)}
-    for template in TEMPLATES[family]:
-        t = words_of(template)
-        want = {tuple(t[i : i + 3]) for i in range(len(t) - 2)} or {tuple(t)}
-        if len(want & have) >= CONFIRM * len(want) or (len(t) <= 4 and set(t) <= set(words)):
-            return True
-    return False
+    return any(len(want & have) >= CONFIRM * len(want) or (len(own) <= 4 and own <= set(words)) for want, own in WANTED[family])
 
 
 def _damaged(template: list[str], filler: np.ndarray, rng: np.random.Generator) -> list[str]:
@@ -282,45 +370,69 @@ def _damaged(template: list[str], filler: np.ndarray, rng: np.random.Generator)
     return around() + kept + around()
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_negatives: int = MAX_NEGATIVES, seed: int = 3) -> Model:
-    """Train on damaged templates, look-alikes and paragraphs of at most max_negatives documents."""
-    sample = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.expr(f"slice(filter(split({text_col}, '\\n'), x -> length(x) between 1 and 2000), 1, {NEGATIVE_LINES})").alias("lines")).where("size(lines) > 0")
-    # A first cut by hash leaves about four times the rows wanted, so that tasks send few of them.
-    share = min(1.0, 4 * max_negatives / max(1, docs.count()))
-    sample = sample.where(F.pmod("h", F.lit(1 << 20)) < math.ceil(share * (1 << 20))).orderBy("h").limit(max_negatives)
-    lines = sorted({line for row in sample.collect() for line in row.lines})
-    rng = np.random.default_rng(seed)
-    families = [*TEMPLATES, UNKNOWN]
-    template_words = {f: [words_of(t) for t in ts] for f, ts in TEMPLATES.items()}
-    negatives = [w for w in map(words_of, [*LOOKALIKES, *lines]) if w and not any(confirmed(w, f) for f in TEMPLATES)]
-    filler = np.array(sorted({w for words in negatives for w in words}), object)
-    rows = [(k, _damaged(t, filler, rng)) for k, f in enumerate(TEMPLATES) for t in template_words[f] for _ in range(COPIES)]
-    rows += [(len(TEMPLATES), w) for w in negatives] + [(len(TEMPLATES), _damaged(words_of(t), filler, rng)) for t in LOOKALIKES for _ in range(COPIES)]
-    scattered = np.array(sorted({w for ts in template_words.values() for t in ts for w in t}), object)
-    rows += [(len(TEMPLATES), rng.choice(scattered, rng.integers(2, 12)).tolist()) for _ in range(8 * COPIES)]
-    vocabulary = {g: i for i, g in enumerate(sorted({g for ts in template_words.values() for t in ts for g in grams(t)}))}
-    model = Model(families, vocabulary, np.zeros((len(vocabulary) + 1, len(families))), 1.0, 0.5, frozenset(g for g in vocabulary if " " not in g))
-    x, y = np.zeros((len(rows), len(vocabulary) + 1), np.float32), np.array([k for k, _ in rows])
-    for i, (_, words) in enumerate(rows):
+@dataclass
+class Examples:
+    """Training texts: their words, class and the number of the sentence that they come from."""
+
+    words: list[list[str]]
+    classes: np.ndarray
+    sources: np.ndarray
+
+
+def _examples(seed: int) -> Examples:
+    """Damaged copies of all sentences, the look-alikes as they are, and scattered licence words (with sources of their own)."""
+    rng, filler = np.random.default_rng(seed), np.array(FILLER, object)
+    unknown = len(TEMPLATES)
+    # A family's templates get numbers in turn, so that a fold leaves out one or two of each.
+    sentences = [(k, i, words_of(t)) for k, ts in enumerate(TEMPLATES.values()) for i, t in enumerate(ts)] + [(unknown, i, words_of(t)) for i, t in enumerate(LOOKALIKES)]
+    rows = [(_damaged(words, filler, rng), k, i) for k, i, words in sentences for _ in range(COPIES)] + [(words, k, i) for k, i, words in sentences if k == unknown]
+    scattered = np.array(sorted({w for k, _, words in sentences if k != unknown for w in words}), object)
+    rows += [(rng.choice(scattered, rng.integers(2, 12)).tolist() + rng.choice(filler, rng.integers(0, 12)).tolist(), unknown, i) for i in range(60 * COPIES)]
+    return Examples([r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+
+
+def _untrained(examples: Examples, part: np.ndarray) -> Model:
+    """A model without weights whose features are the n-grams of the licence texts among some examples."""
+    licensed = [w for w, k, use in zip(examples.words, examples.classes, part, strict=True) if use and k < len(TEMPLATES)]
+    known = {g for ts in TEMPLATES.values() for t in ts for g in grams(words_of(t))}
+    vocabulary = {g: i for i, g in enumerate(sorted({g for words in licensed for g in grams(words)} & known))}
+    single = frozenset(g for g in vocabulary if " " not in g)
+    return Model([*TEMPLATES, UNKNOWN], vocabulary, np.zeros((len(vocabulary) + 1, len(TEMPLATES) + 1)), 1.0, LEAST, single)
+
+
+def _matrix(model: Model, texts: list[list[str]]) -> np.ndarray:
+    x = np.zeros((len(texts), len(model.vocabulary) + 1), np.float32)
+    for i, words in enumerate(texts):
         x[i, model.features(words)] = 1
     x[:, -1] = 1
-    test = rng.random(len(rows)) < 0.25
-    model.weights = _regression(x[~test], y[~test], len(families))
-    z = (x[test] @ model.weights).astype(np.float64)
-    losses = []
-    for t in (grid := [0.3, 0.5, 0.7, 1.0, 1.4, 2.0]):
+    return x
+
+
+def fit(seed: int = 3) -> Model:
+    """The model of the templates; its threshold and temperature come from sentences that FOLDS fits didn't see."""
+    examples = _examples(seed)
+    z, y = [], []
+    for fold in range(FOLDS):
+        test = examples.sources % FOLDS == fold
+        model = _untrained(examples, ~test)
+        model.weights = _regression(_matrix(model, [w for w, t in zip(examples.words, test, strict=True) if not t]), examples.classes[~test], len(model.families), FOLD_STEPS)
+        z.append((_matrix(model, [w for w, t in zip(examples.words, test, strict=True) if t]) @ model.weights).astype(np.float64))
+        y.append(examples.classes[test])
+    z, y = np.concatenate(z), np.concatenate(y)
+    model = _untrained(examples, np.ones(len(y), bool))
+    model.weights = _regression(_matrix(model, examples.words), examples.classes, len(model.families), STEPS)
+
+    def log_p(t: float) -> np.ndarray:
         s = z / t - (z / t).max(axis=1, keepdims=True)
-        losses.append(-np.mean(s[np.arange(len(s)), y[test]] - np.log(np.exp(s).sum(axis=1))))
-    model.temperature = grid[int(np.argmin(losses))]
-    e = np.exp(z / model.temperature - (z / model.temperature).max(axis=1, keepdims=True))
-    p = e / e.sum(axis=1, keepdims=True)
-    false = np.sort(p[y[test] == len(TEMPLATES)][:, :-1].max(axis=1))
-    model.least = max(0.5, float(false[int((1 - FALSE_RATE) * (len(false) - 1))])) if len(false) else 0.5
-    model.least = min(model.least, 0.9)
+        return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
+
+    model.temperature = TEMPERATURES[int(np.argmin([-log_p(t)[np.arange(len(y)), y].mean() for t in TEMPERATURES]))]
+    false = np.sort(np.exp(log_p(model.temperature)[y == len(TEMPLATES), :-1]).max(axis=1))
+    model.least = float(np.clip(false[int((1 - FALSE_RATE) * (len(false) - 1))], LEAST, MOST))
     return model
 
 
-def _regression(x: np.ndarray, y: np.ndarray, classes: int) -> np.ndarray:
+def _regression(x: np.ndarray, y: np.ndarray, classes: int, steps: int) -> np.ndarray:
     """Softmax regression by accelerated gradient steps."""
     hot = np.eye(classes, dtype=np.float32)[y]
     w = ahead = np.zeros((x.shape[1], classes), np.float32)
@@ -329,7 +441,7 @@ def _regression(x: np.ndarray, y: np.ndarray, classes: int) -> np.ndarray:
         v = x.T @ (x @ v)
         v /= np.linalg.norm(v)
     rate = 2.0 * len(y) / float(np.linalg.norm(x @ v) ** 2)
-    for step in range(STEPS):
+    for step in range(steps):
         z = x @ ahead
         e = np.exp(z - z.max(axis=1, keepdims=True))
         w, before = ahead - rate * (x.T @ (e / e.sum(axis=1, keepdims=True) - hot) / len(y) + DECAY * ahead), w
@@ -338,10 +450,19 @@ def _regression(x: np.ndarray, y: np.ndarray, classes: int) -> np.ndarray:
 
 
 def scan_text(text: str | None, model: Model) -> list[tuple[str, int, int, float]]:
-    """(family, start, end, probability) of all confirmed families of all paragraphs."""
+    """(family, start, end, probability) of all notices, in code points, from their first word to their last."""
     out = []
     for s, e in paragraphs(text):
-        out += [(family, s, e, p) for family, p in model.classify_all(text[s:e])]
+        # Offsets hold as lower case changes the length of few letters, none of a word's; those paragraphs are mapped letter by letter.
+        part = text[s:e]
+        low = part.lower()
+        if len(low) != len(part):
+            low = "".join(c.lower() if len(c.lower()) == 1 else " " for c in part)
+        places = [m.span() for m in WORD.finditer(low)]
+        words = [low[a:b] for a, b in places]
+        if model.single.isdisjoint(words):
+            continue
+        out += [(family, s + places[a][0], s + places[b - 1][1], p) for a, b, family, p in model.classify_all(words)]
     return out
 
 

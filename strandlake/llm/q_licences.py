@@ -9,8 +9,7 @@ from strandlake.session import table
 
 
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return licences.scan(docs, licences.fit(docs))
+    return licences.scan(table(spark, sf_dir, "documents"), licences.fit())
 
 
 QUERIES = {"op6_licences": op6_licences}
