@@ -1,8 +1,14 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands find pairs, exact sets decide.
+"""The pipeline's form of SimHash near-duplicates: five-word shingles and an exact similarity.
 
-A text is the set of its lower-cased (A-Z) five-word shingles, as XXH64 hashes
-(seed 42). Texts of one set are one node. Two sets are linked when their Jaccard
-similarity is LEAST or more; a class is a component of the links.
+A text is its lower-cased (A-Z) five-word shingles, as XXH64 hashes (seed 42).
+Texts of one set of shingles are one node. Two nodes are linked when the Jaccard
+similarity of their sets is LEAST or more; a class is a component of the links.
+
+Candidates are those that the Golay keys of simhash.py link, fingerprints of the
+same shingles within three bits, and those that meet in a MinHash band: two texts
+of similarity 0.8 differ in about ten of 64 bits, which Golay keys of 16-bit
+segments can't reach, so fingerprints alone would lose most of the pairs that
+this stage owes. Exact sets decide on all candidates.
 
 BANDS keys of ROWS minima each make a pair of similarity 0.8 meet in none of
 them with a chance of 5e-6. Within a key, first every set is compared with the
@@ -28,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import connected_components, materialize
-from strandlake.llm.simhash import first_rows, text_sha
+from strandlake.llm.simhash import first_rows, links, majority, shingle_hashes, text_sha
 
 SEED, SHINGLE, LEAST = 42, 5, 0.8
 BANDS, ROWS = 40, 6
@@ -39,19 +45,6 @@ FACTORS = _draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + n
 SHIFTS = _draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles; of all its words where they are fewer than n."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate([[0], ends[:-1]]).tolist()
-    last = (ends[min(n, len(words)) - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, last, strict=False)), np.uint64, len(last)))
-
-
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """One key a band, of the minima of ROWS hash functions; none for the empty set."""
     if not len(hashes):
@@ -71,16 +64,17 @@ def _set_id(hashes: np.ndarray) -> int:
 
 
 def _sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_sha, node, size, keys) of every row."""
+    """(id, text_sha, node, size, fp, keys) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column(2)]
-            nodes = np.array([_set_id(s) for s in sets], np.uint64).view(np.int64)
-            columns = [batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "text_sha", "node", "size", "keys"])
+            hashes = [shingle_hashes(t.as_py(), SHINGLE) for t in batch.column(2)]
+            sets = [np.unique(h) for h in hashes]
+            as_long = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
+            columns = [batch.column(0), batch.column(1), as_long([_set_id(s) for s in sets]), pa.array([len(s) for s in sets], pa.int32()), as_long([majority(h) for h in hashes]), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "text_sha", "node", "size", "fp", "keys"])
 
-    return df.select(id_col, text_sha(text_col).alias("text_sha"), F.col(text_col)).mapInArrow(run, f"{id_col} {dict(df.dtypes)[id_col]}, text_sha string, node long, size int, keys array<long>")
+    return df.select(id_col, text_sha(text_col).alias("text_sha"), F.col(text_col)).mapInArrow(run, f"{id_col} {dict(df.dtypes)[id_col]}, text_sha string, node long, size int, fp long, keys array<long>")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -88,7 +82,7 @@ def _sets(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], names=["node", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t.as_py(), SHINGLE)).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], names=["node", "hashes"])
 
     return texts.select("node", "text").mapInArrow(run, "node long, hashes array<long>")
 
@@ -110,12 +104,18 @@ def _verified(pairs: DataFrame, df: DataFrame, rows: DataFrame, text_col: str, l
 def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """(id, text_sha, class) of every row."""
     rows = materialize(_sketched(df, id_col, text_col), "near-rows")
+    # A set may come with several fingerprints: one in which shingles repeat has another one.
+    prints = materialize(rows.where("size > 0").groupBy("fp").agg(F.min("node").alias("lead")), "near-prints")
+    alike = rows.select("node", "fp").distinct().join(prints, "fp").where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v"))
+    of = lambda end: prints.select(F.col("fp").alias(end), F.col("lead").alias(f"l{end}"))
+    golay = links(prints.select("fp")).distinct().join(of("u"), "u").join(of("v"), "v").select(F.col("lu").alias("u"), F.col("lv").alias("v")).unionAll(alike).where("u <> v")
     nodes = rows.select("node", "size", "keys").dropDuplicates(["node"])
     keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
     met = materialize(keyed.join(shared, "key"), "near-met")  # only sets that share a key with another
-    links = _verified(met.where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")), df, rows, text_col, least)
-    first = materialize(connected_components(links), "near-first")
+    asked = met.where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).unionAll(golay)
+    found = _verified(asked, df, rows, text_col, least)
+    first = materialize(connected_components(found), "near-first")
     home = lambda node, name: first.select(F.col("node").alias(node), F.col("component").alias(name))
     placed = met.where("n > 2").join(home("node", "c"), "node", "left").join(home("lead", "lc"), "lead", "left")
     placed = placed.select("key", "node", "size", "lead", F.coalesce("c", "node").alias("c"), F.coalesce("lc", "lead").alias("lc"))
@@ -125,7 +125,7 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     rest = out.join(placed.where("node <> lead").select("key", F.col("node").alias("v"), F.col("size").alias("sv"), F.col("c").alias("cv")), "key")
     rest = rest.where((F.col("cu") != F.col("cv")) & (F.least("su", "sv") / F.greatest("su", "sv") >= least))
     more = _verified(rest.select("u", "v"), df, rows, text_col, least)
-    end = connected_components(links.unionByName(more))
+    end = connected_components(found.unionByName(more))
     return rows.join(end.select("node", "component"), "node", "left").select(id_col, "text_sha", F.coalesce("component", "node").alias("class"))
 
 

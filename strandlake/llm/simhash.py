@@ -91,23 +91,32 @@ def golay() -> tuple[np.ndarray, np.ndarray]:
     return _golay[0]
 
 
-def fingerprint(text: str | None, n: int = SHINGLE) -> int:
+def shingle_hashes(text: str | None, n: int = SHINGLE) -> np.ndarray:
+    """Hashes of a text's n-word shingles in order, with repeats; of all its words where they are fewer, none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     if len(words) <= n:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], "<u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate([[0], ends[:-1]]).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts, (ends[n - 1 :] - 1).tolist(), strict=False)], "<u8")
+    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts, (ends[n - 1 :] - 1).tolist(), strict=False)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are 1 in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for part in range(0, len(hashes), BITS_AT_ONCE):
         ones += np.unpackbits(hashes[part : part + BITS_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, n: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, n))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
     """(id, text_sha, fp) of every row; fp is the fingerprint as a signed long."""
 
