@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.storage import discard, fresh_path, materialize, shared_dir
 
-__all__ = ["connected_components", "discard", "fresh_path", "join_unique", "materialize", "shared_dir"]
+__all__ = ["connected_components", "discard", "fresh_path", "join_spread", "join_unique", "materialize", "shared_dir"]
 
 #: A hub has more than a HUBS-th of all edge ends or rows, so that there are fewer than HUBS of them.
 HUBS = 1000
@@ -29,6 +29,23 @@ def join_unique(rows: DataFrame, unique: DataFrame, key: str, weight: str, total
     return marked.where(done).select(*rows.columns, *told).unionAll(left.join(unique.where(F.col(weight) <= most).drop(weight), key, "left").select(*rows.columns, *told))
 
 
+def join_spread(rows: DataFrame, unique: DataFrame, key: str) -> DataFrame:
+    """An inner join with a table of one row a key, whose rows may be large.
+
+    The unique rows of keys with more than a HUBS-th of the rows are copied, one
+    for each such share, fewer than 2 * HUBS copies in all, and the keys' rows are
+    dealt to them by hash, so no task gets a large share of the rows.
+    """
+    counts = materialize(rows.groupBy(key).agg(F.count("*").alias("_n")), "join-counts")
+    most = max(1, (counts.agg(F.sum("_n")).first()[0] or 0) // HUBS)
+    hot = F.broadcast(counts.where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    others = [c for c in rows.columns if c != key]
+    left = rows.join(hot, key, "left").select(*rows.columns, F.pmod(F.xxhash64(*others), parts).cast("int").alias("_part"))
+    right = unique.join(hot, key, "left").select(*unique.columns, F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+    return left.join(right, [key, "_part"]).drop("_part")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an edge list (u, v); component is the smallest node reachable.
 

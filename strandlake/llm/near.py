@@ -12,11 +12,13 @@ this stage owes. Exact sets decide on all candidates.
 
 BANDS keys of ROWS minima each make a pair of similarity 0.8 meet in none of
 them with a chance of 5e-6. Within a key, first every set is compared with the
-key's smallest one. After their components are known, sets outside the smallest
-one's component are compared with all sets of the key that are in another
-component than their own. So a large group of near copies costs its size and not
-its square, and a pair that met is left out only where both ends are already in
-one component or their sizes alone rule LEAST out.
+key's smallest one. After their components are known, keys whose sets are in
+several components are compared in runs: a run holds sets of the key of about
+2 * RUN_BYTES at most (a key with more is a grid of blocks), compares each pair of
+different components in the first key that it shares, and returns a forest of the
+links it finds. So candidates of a large group are never rows of a table, and a
+pair that met is left out only where both ends are already in one component or
+their sizes alone rule LEAST out.
 
 Null and empty texts and texts without words have the empty set and are one
 class. Repeated rows and null ids are rows like others; an empty table gives an
@@ -33,12 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import connected_components, materialize
+from strandlake.llm.common import connected_components, join_spread, join_unique, materialize
 from strandlake.llm.simhash import first_rows, links, majority, shingle_hashes, text_sha
 
 SEED, SHINGLE, LEAST = 42, 5, 0.8
 BANDS, ROWS = 40, 6
 HASHES_AT_ONCE = 1 << 10
+#: Bytes of sets in a block of a key's grid, and what a row has besides its set.
+RUN_BYTES, ROW_BYTES = 16 << 20, 512
 
 _draw = np.random.default_rng(SEED)
 FACTORS = _draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -87,21 +91,79 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, hashes array<long>")
 
 
+def _sets_of(nodes: DataFrame, df: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
+    """(node, hashes) of the nodes of a table (node), read from one text of each."""
+    # Written, so that Spark knows its size when it joins.
+    chosen = materialize(rows.select("node", "text_sha").join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min("text_sha").alias("text_sha")), "near-asked")
+    texts = df.select(text_sha(text_col).alias("text_sha"), F.col(text_col).alias("text")).join(chosen, "text_sha")
+    return materialize(_sets(texts.groupBy("node").agg(F.first("text").alias("text"))), "near-sets")
+
+
 def _verified(pairs: DataFrame, df: DataFrame, rows: DataFrame, text_col: str, least: float) -> DataFrame:
     """The pairs (u, v) of nodes whose sets have a similarity of `least` or more."""
     pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-pairs")
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    # One text of each node; written, so that Spark knows its size when it joins.
-    chosen = materialize(rows.select("node", "text_sha").join(asked, "node", "left_semi").groupBy("node").agg(F.min("text_sha").alias("text_sha")), "near-asked")
-    texts = df.select(text_sha(text_col).alias("text_sha"), F.col(text_col).alias("text")).join(chosen, "text_sha")
-    once = texts.groupBy("node").agg(F.first("text").alias("text"))
-    sets = materialize(_sets(once), "near-sets")
+    sets = _sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")), df, rows, text_col)
     a, b = (sets.select(F.col("node").alias(end), F.col("hashes").alias(f"h{end}")) for end in ("u", "v"))
-    both = pairs.join(a, "u").join(b, "v").select("u", "v", F.size("hu").alias("nu"), F.size("hv").alias("nv"), F.size(F.array_intersect("hu", "hv")).alias("both"))
+    # A group's smallest set is an end of very many pairs.
+    both = join_spread(pairs, a, "u").join(b, "v").select("u", "v", F.size("hu").alias("nu"), F.size("hv").alias("nv"), F.size(F.array_intersect("hu", "hv")).alias("both"))
     return materialize(both.where(F.col("both") / (F.col("nu") + F.col("nv") - F.col("both")) >= least).select("u", "v"), "near-links")
 
 
-def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
+def compare(band: int, lead: int, nodes: np.ndarray, classes: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, keys: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links between a run's sets of different classes that make them one; pairs of one block are compared in a run of that block alone."""
+    label, at, links_ = classes.copy(), np.arange(len(nodes)), []
+    values, counts = np.unique(classes, return_counts=True)
+    most = classes == values[counts.argmax()]
+    apart = blocks.min() != blocks.max()
+    for i in np.nonzero(~most & (nodes != lead))[0]:
+        ok = (label != label[i]) & (most | (at > i)) & (nodes != lead) & (np.minimum(sizes, sizes[i]) >= least * np.maximum(sizes, sizes[i]))
+        if apart:
+            ok &= blocks != blocks[i]
+        j = np.nonzero(ok)[0]
+        j = j[(keys[j] == keys[i]).argmax(axis=1) == band]  # elsewhere the pair is compared in another key
+        if not len(j):
+            continue
+        flat = np.concatenate([sets[k] for k in j])
+        found = sets[i][np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)] == flat
+        both = np.add.reduceat(found, np.concatenate([[0], np.cumsum(sizes[j])[:-1]]), dtype=np.int64)
+        for k in j[both / (sizes[i] + sizes[j] - both) >= least]:
+            if label[k] != label[i]:
+                links_.append((int(nodes[i]), int(nodes[k])))
+                label[label == label[k]] = label[i]
+    return links_
+
+
+def _compared(least: float):
+    """compare() on the runs of equal (key, cell) in a sorted partition; one run is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, rows = None, []
+
+        def out() -> pa.RecordBatch:
+            column = lambda k, kind: np.array([r[k] for r in rows], kind)
+            order = np.argsort(column(2, np.int64), kind="stable")
+            sets = [np.array(rows[k][7], np.int64).view(np.uint64) for k in order]
+            pick = lambda k, kind: column(k, kind)[order]
+            found = compare(rows[0][0], rows[0][1], pick(2, np.int64), pick(3, np.int64), pick(4, np.int64), pick(5, np.int32), np.array([rows[k][6] for k in order], np.int64), sets, least)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            heads = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            plain = [batch.column(c).to_pylist() for c in range(2, 8)]
+            keys, hashes = (batch.column(c) for c in (8, 9))
+            for k, head in enumerate(heads):
+                if head != name:
+                    if len(rows) > 1:
+                        yield out()
+                    name, rows = head, []
+                rows.append((*(c[k] for c in plain), keys[k].values.to_numpy(), hashes[k].values.to_numpy()))
+        if len(rows) > 1:
+            yield out()
+
+    return run
+
+
+def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, run_bytes: int = RUN_BYTES) -> DataFrame:
     """(id, text_sha, class) of every row."""
     rows = materialize(_sketched(df, id_col, text_col), "near-rows")
     # A set may come with several fingerprints: one in which shingles repeat has another one.
@@ -110,25 +172,26 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     of = lambda end: prints.select(F.col("fp").alias(end), F.col("lead").alias(f"l{end}"))
     golay = links(prints.select("fp")).distinct().join(of("u"), "u").join(of("v"), "v").select(F.col("lu").alias("u"), F.col("lv").alias("v")).unionAll(alike).where("u <> v")
     nodes = rows.select("node", "size", "keys").dropDuplicates(["node"])
-    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", "size", F.posexplode("keys").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
     met = materialize(keyed.join(shared, "key"), "near-met")  # only sets that share a key with another
     asked = met.where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).unionAll(golay)
     found = _verified(asked, df, rows, text_col, least)
     first = materialize(connected_components(found), "near-first")
-    home = lambda node, name: first.select(F.col("node").alias(node), F.col("component").alias(name))
-    placed = met.where("n > 2").join(home("node", "c"), "node", "left").join(home("lead", "lc"), "lead", "left")
-    placed = placed.select("key", "node", "size", "lead", F.coalesce("c", "node").alias("c"), F.coalesce("lc", "lead").alias("lc"))
+    placed = met.where("n > 2").join(first.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     placed = materialize(placed, "near-placed")
-    out = placed.where("c <> lc").select("key", F.col("node").alias("u"), F.col("size").alias("su"), F.col("c").alias("cu"))
-    # The key's lead was compared with every set above.
-    rest = out.join(placed.where("node <> lead").select("key", F.col("node").alias("v"), F.col("size").alias("sv"), F.col("c").alias("cv")), "key")
-    rest = rest.where((F.col("cu") != F.col("cv")) & (F.least("su", "sv") / F.greatest("su", "sv") >= least))
-    more = _verified(rest.select("u", "v"), df, rows, text_col, least)
+    weight = F.sum(F.col("size").cast("long") * 8 + ROW_BYTES)
+    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"), F.greatest(F.lit(1), F.ceil(weight / run_bytes)).cast("int").alias("side")).where("c0 <> c1")
+    rest = materialize(join_unique(placed.drop("n"), mixed.select("key", "n", "side"), "key", "n", placed.count()).where("side is not null"), "near-rest")
+    sets = _sets_of(rest.select("node"), df, rows, text_col).join(nodes.select("node", "keys"), "node")
+    home = F.pmod(F.xxhash64("node"), F.col("side")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("side") - 1), lambda b: F.least(home, b) * F.col("side") + F.greatest(home, b))
+    ready = rest.join(sets, "node").select("key", F.explode(cells).alias("cell"), "band", "lead", "node", "c", "size", home.alias("block"), "keys", "hashes")
+    more = materialize(ready.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_compared(least), "u long, v long"), "near-more")
     end = connected_components(found.unionByName(more))
     return rows.join(end.select("node", "component"), "node", "left").select(id_col, "text_sha", F.coalesce("component", "node").alias("class"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, run_bytes: int = RUN_BYTES) -> DataFrame:
     """One row of each class, with all its columns: that of the smallest id, then of the smallest text digest."""
-    return first_rows(df, classify(df, id_col, text_col, least), id_col, text_col)
+    return first_rows(df, classify(df, id_col, text_col, least, run_bytes), id_col, text_col)

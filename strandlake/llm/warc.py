@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import HUBS, fresh_path, join_unique, materialize
+from strandlake.llm.common import fresh_path, join_spread, join_unique, materialize
 
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
@@ -135,14 +135,7 @@ def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """(page_id, url, record_type, payload_bytes, payload_digest, refers_to[, payload]) of every record, from its rebuilt bytes."""
     headers, stored = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
-    counts = headers.groupBy("strong").agg(F.count("*").alias("n"))
-    most = max(1, headers.count() // HUBS)
-    # Fewer than HUBS digests have more than a HUBS-th of the records; their payloads go to as many parts as that share goes into them.
-    hot = F.broadcast(counts.where(F.col("n") > most).select("strong", F.ceil(F.col("n") / most).cast("int").alias("parts")))
-    parts = F.coalesce("parts", F.lit(1))
-    left = headers.join(hot, "strong", "left").select("strong", "header", F.pmod(F.xxhash64("header"), parts).cast("int").alias("part"))
-    right = stored.join(hot, "strong", "left").select("strong", "payload", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    joined = left.join(right, ["strong", "part"]).select("strong", "header", "payload")
+    joined = join_spread(headers.select("strong", "header"), stored, "strong").select("strong", "header", "payload")
     names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", *(["payload"] if payloads else [])]
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import corpus_pipeline
 from strandlake.llm import near
 
@@ -57,6 +59,28 @@ def test_stage_matches_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == brute_kept(rows)
 
 
+def chains(seed=6):
+    """A base's copies, most too far from one another to link: the base is not the smallest set of its keys."""
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(3):
+        base = [rng.choice(vocab) for _ in range(150)]
+        copy = list(base)
+        for k in range(60):
+            rows.append((len(rows), edited(base if k % 2 else copy, rng, vocab, 2 + k % 4)))
+            if k % 7 == 0:
+                copy = rows[-1][1].split()
+    return rows
+
+
+@pytest.mark.parametrize("run_bytes", [near.RUN_BYTES, 6000])
+def test_large_groups_in_runs_and_grids(spark, run_bytes):
+    rows = chains()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in near.keep_one(df, run_bytes=run_bytes).collect()) == brute_kept(rows)
+
+
 def test_pairs_of_the_least_similarity_meet():
     rng = random.Random(3)
     missed = 0
