@@ -91,18 +91,18 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, hashes array<long>")
 
 
-def _sets_of(nodes: DataFrame, df: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
+def _sets_of(asked: DataFrame, df: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
     """(node, hashes) of the nodes of a table (node), read from one text of each."""
     # Written, so that Spark knows its size when it joins.
-    chosen = materialize(rows.select("node", "text_sha").join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min("text_sha").alias("text_sha")), "near-asked")
+    chosen = materialize(nodes.select("node", "text_sha").join(asked.distinct(), "node", "left_semi"), "near-asked")
     texts = df.select(text_sha(text_col).alias("text_sha"), F.col(text_col).alias("text")).join(chosen, "text_sha")
     return materialize(_sets(texts.groupBy("node").agg(F.first("text").alias("text"))), "near-sets")
 
 
-def _verified(pairs: DataFrame, df: DataFrame, rows: DataFrame, text_col: str, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, text_col: str, least: float) -> DataFrame:
     """The pairs (u, v) of nodes whose sets have a similarity of `least` or more."""
     pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-pairs")
-    sets = _sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")), df, rows, text_col)
+    sets = _sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")), df, nodes, text_col)
     a, b = (sets.select(F.col("node").alias(end), F.col("hashes").alias(f"h{end}")) for end in ("u", "v"))
     # A group's smallest set is an end of very many pairs.
     both = join_spread(pairs, a, "u").join(b, "v").select("u", "v", F.size("hu").alias("nu"), F.size("hv").alias("nv"), F.size(F.array_intersect("hu", "hv")).alias("both"))
@@ -171,19 +171,19 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     alike = rows.select("node", "fp").distinct().join(prints, "fp").where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v"))
     of = lambda end: prints.select(F.col("fp").alias(end), F.col("lead").alias(f"l{end}"))
     golay = links(prints.select("fp")).distinct().join(of("u"), "u").join(of("v"), "v").select(F.col("lu").alias("u"), F.col("lv").alias("v")).unionAll(alike).where("u <> v")
-    nodes = rows.select("node", "size", "keys").dropDuplicates(["node"])
+    nodes = materialize(rows.groupBy("node").agg(F.min("text_sha").alias("text_sha"), F.first("size").alias("size"), F.first("keys").alias("keys")), "near-nodes")
     keyed = nodes.select("node", "size", F.posexplode("keys").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
     met = materialize(keyed.join(shared, "key"), "near-met")  # only sets that share a key with another
     asked = met.where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).unionAll(golay)
-    found = _verified(asked, df, rows, text_col, least)
+    found = _verified(asked, df, nodes, text_col, least)
     first = materialize(connected_components(found), "near-first")
     placed = met.where("n > 2").join(first.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     placed = materialize(placed, "near-placed")
     weight = F.sum(F.col("size").cast("long") * 8 + ROW_BYTES)
     mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"), F.greatest(F.lit(1), F.ceil(weight / run_bytes)).cast("int").alias("side")).where("c0 <> c1")
     rest = materialize(join_unique(placed.drop("n"), mixed.select("key", "n", "side"), "key", "n", placed.count()).where("side is not null"), "near-rest")
-    sets = _sets_of(rest.select("node"), df, rows, text_col).join(nodes.select("node", "keys"), "node")
+    sets = _sets_of(rest.select("node"), df, nodes, text_col).join(nodes.select("node", "keys"), "node")
     home = F.pmod(F.xxhash64("node"), F.col("side")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("side") - 1), lambda b: F.least(home, b) * F.col("side") + F.greatest(home, b))
     ready = rest.join(sets, "node").select("key", F.explode(cells).alias("cell"), "band", "lead", "node", "c", "size", home.alias("block"), "keys", "hashes")
