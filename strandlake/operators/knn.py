@@ -1,10 +1,11 @@
 """Exact and approximate nearest-neighbour search over stored vectors.
 
 Results are ordered by (distance, id) and hold one row per id, the closest of
-its copies. Queries are sent to the corpus in blocks of a bounded size: each
-block is broadcast, partitions of the corpus are scored with one matrix product
-per batch, and only their best candidates, ties at the boundary included, are
-shuffled and ranked.
+its copies. Queries of up to QUERY_BYTES are broadcast. More of them are dealt in
+blocks of that size, and each block meets each part of the corpus in a cell of a
+grid: a task holds one block of queries and streams the corpus part. Batches are
+scored with one matrix product; a task keeps each query's best distinct ids, ties
+at the boundary included, and only these are shuffled and ranked.
 """
 
 from __future__ import annotations
@@ -12,16 +13,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.functions import vec
+from strandlake.storage import materialize
 
-#: Bytes of query vectors that one broadcast may hold.
-QUERY_BYTES = 32 << 20
-ROWS_AT_ONCE = 8192
+#: Bytes of query vectors that one broadcast or block may hold, and bytes of a corpus part beside many queries.
+QUERY_BYTES, PART_BYTES = 32 << 20, 256 << 20
+#: Distances that are worked out at once, and candidates that a task gathers before it drops the worse ones.
+CELLS, GATHERED = 1 << 22, 1 << 20
 
 
 def check_k(k: int) -> None:
@@ -51,50 +55,131 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _scorer(ids: list, queries: np.ndarray, width: int, metric: str, limit: float | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(start, ROWS_AT_ONCE)
-                found = distances(queries, _matrix(batch.column(1)), metric)
-                if limit is not None:
-                    q, at = np.nonzero(found <= limit)
-                elif found.shape[1] <= width:
-                    q, at = np.nonzero(np.ones_like(found, bool))
+class Best:
+    """The nearest distinct ids of each query among the rows seen so far."""
+
+    def __init__(self, ids: list, queries: np.ndarray, widths: np.ndarray, metric: str, limit: float | None):
+        self.ids, self.queries, self.widths, self.metric, self.limit = ids, queries, widths, metric, limit
+        self.parts: list[pd.DataFrame] = []
+        self.size = 0
+
+    def add(self, names, vectors: np.ndarray) -> None:
+        step = max(16, CELLS // max(1, len(self.queries)))
+        for at in range(0, len(vectors), step):
+            some, found = names[at : at + step], distances(self.queries, vectors[at : at + step], self.metric)
+            if self.limit is not None:
+                q, n = np.nonzero(found <= self.limit)
+            else:
+                codes, distinct = pd.factorize(some)
+                if len(distinct) < len(some):  # the closest copy of an id
+                    order = np.argsort(codes, kind="stable")
+                    first = np.nonzero(np.diff(codes[order], prepend=-1))[0]
+                    found, some = np.minimum.reduceat(found[:, order], first, axis=1), some[order[first]]
+                widest = int(self.widths.max(initial=1))
+                if found.shape[1] > widest:
+                    least = np.partition(found, np.unique(self.widths) - 1, axis=1)
+                    keep = found <= least[np.arange(len(found)), self.widths - 1][:, None]
                 else:
-                    edge = np.partition(found, width - 1, axis=1)[:, width - 1 : width]
-                    q, at = np.nonzero(found <= edge)
-                yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(q)), batch.column(0).take(pa.array(at)), pa.array(found[q, at])], names=["query_id", "id", "distance"])
+                    keep = np.ones_like(found, bool)
+                q, n = np.nonzero(keep)
+            self.parts.append(pd.DataFrame({"q": q, "id": some[n], "distance": found[q, n]}))
+            self.size += len(q)
+            if self.size > GATHERED and self.limit is None:
+                self._drop()
+
+    def _drop(self) -> None:
+        rows = pd.concat(self.parts, ignore_index=True).sort_values(["q", "distance"], kind="stable").drop_duplicates(["q", "id"])
+        place = rows.groupby("q").cumcount().to_numpy()
+        edge = np.full(len(self.ids), np.inf)
+        at = place == self.widths[rows["q"].to_numpy()] - 1
+        edge[rows["q"].to_numpy()[at]] = rows["distance"].to_numpy()[at]
+        self.parts = [rows[rows["distance"].to_numpy() <= edge[rows["q"].to_numpy()]]]
+        self.size = len(self.parts[0])
+
+    def batches(self, query_type: pa.DataType, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        if self.parts and self.limit is None:
+            self._drop()
+        for part in self.parts:
+            queries = pa.array(self.ids, query_type).take(pa.array(part["q"].to_numpy()))
+            yield pa.RecordBatch.from_arrays([queries, pa.array(part["id"].to_numpy(), id_type), pa.array(part["distance"].to_numpy(), pa.float64())], names=["query_id", "id", "distance"])
+        self.parts, self.size = [], 0
+
+
+def _broadcast(ids: list, queries: np.ndarray, widths: np.ndarray, metric: str, limit: float | None, query_type: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, kind = Best(ids, queries, widths, metric, limit), None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            best.add(batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1)))
+            if limit is not None:
+                yield from best.batches(query_type, kind)
+        if kind is not None:
+            yield from best.batches(query_type, kind)
 
     return run
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    """Query ids and vectors in blocks of at most QUERY_BYTES, one block at a time on the driver."""
-    ids, rows, size = [], [], 0
-    for r in queries.select("query_id", vec.as_double("vector")).toLocalIterator():
-        if size + 8 * len(r[1]) > QUERY_BYTES and rows:
-            yield ids, np.array(rows)
-            ids, rows, size = [], [], 0
-        ids.append(r[0])
-        rows.append(r[1])
-        size += 8 * len(r[1])
-    if rows:
-        yield ids, np.array(rows)
+def _gridded(metric: str, limit: float | None):
+    """Cells of a sorted partition: a block's queries come first, then the corpus rows, which are scored as they come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, waiting, best, types = None, [], None, (pa.int64(), pa.int64())
+        for batch in batches:
+            cells = batch.column(0).to_numpy(zero_copy_only=False)
+            queries = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            types = batch.column(2).type, batch.column(3).type
+            ends = np.nonzero((np.diff(cells) != 0) | (np.diff(queries.astype(int)) != 0))[0] + 1
+            for s, e in zip([0, *ends.tolist()], [*ends.tolist(), len(cells)], strict=True):
+                if s == e:
+                    continue
+                if cells[s] != cell:
+                    if best is not None:
+                        yield from best.batches(*types)
+                    cell, waiting, best = cells[s], [], None
+                part = batch.slice(s, e - s)
+                if queries[s]:
+                    waiting.append(part)
+                    continue
+                if best is None:
+                    if not waiting:
+                        continue
+                    best = Best(sum((w.column(2).to_pylist() for w in waiting), []), np.concatenate([_matrix(w.column(4)) for w in waiting]), np.concatenate([w.column(1).to_numpy() for w in waiting]).astype(int), metric, limit)
+                    waiting = []
+                best.add(part.column(3).to_numpy(zero_copy_only=False), _matrix(part.column(4)))
+                if limit is not None:
+                    yield from best.batches(*types)
+        if best is not None:
+            yield from best.batches(*types)
+
+    return run
+
 
+def candidates(queries: DataFrame, corpus: DataFrame, width: int | Column, metric: str = "cosine", limit: float | None = None, query_bytes: int = QUERY_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(query_id, id, distance): at least the `width` nearest ids of each part of the corpus, or all within a limit.
 
-def candidates(queries: DataFrame, corpus: DataFrame, width: int, metric: str = "cosine", limit: float | None = None) -> DataFrame:
-    """(query_id, id, distance): at least the `width` nearest rows of each partition, or all within a limit."""
+    width may be an expression of the queries' columns.
+    """
     kinds = dict(queries.dtypes)["query_id"], dict(corpus.dtypes)["id"]
     schema = f"query_id {kinds[0]}, id {kinds[1]}, distance double"
+    wide = F.greatest(F.lit(1), width if isinstance(width, Column) else F.lit(width)).cast("int")
+    asked = queries.select("query_id", wide.alias("width"), vec.as_double("vector").alias("vector")).where("vector is not null and size(vector) > 0 and query_id is not null")
     source = corpus.select("id", vec.as_double("vector").alias("vector")).where("vector is not null and size(vector) > 0")
-    parts = [source.mapInArrow(_scorer(ids, matrix, width, metric, limit), schema) for ids, matrix in _blocks(queries)]
-    if not parts:
-        return corpus.sparkSession.createDataFrame([], schema)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out
+    size = asked.agg(F.coalesce(F.sum(F.size("vector") * 8 + 64), F.lit(0))).first()[0]
+    if size <= query_bytes:
+        rows = asked.toArrow()
+        if not rows.num_rows:
+            return corpus.sparkSession.createDataFrame([], schema)
+        ids = rows.column("query_id")
+        matrix = _matrix(rows.column("vector").combine_chunks())
+        return source.mapInArrow(_broadcast(ids.to_pylist(), matrix, rows.column("width").to_numpy().astype(int), metric, limit, ids.type), schema)
+    blocks = -(-size // query_bytes)
+    parts = max(1, -(-(source.agg(F.coalesce(F.sum(F.size("vector") * 8), F.lit(0))).first()[0]) // part_bytes))
+    spread = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = asked.withColumn("part", every(parts)).select((spread("query_id", blocks) * parts + F.col("part")).alias("cell"), "width", "query_id", F.lit(None).cast(kinds[1]).alias("id"), "vector")
+    right = source.withColumn("block", every(blocks)).select((F.col("block") * parts + spread("vector", parts)).alias("cell"), F.lit(0).alias("width"), F.lit(None).cast(kinds[0]).alias("query_id"), "id", "vector")
+    ready = left.unionAll(right).repartition(int(min(2 * blocks * parts, 1 << 15)), "cell").sortWithinPartitions("cell", F.col("query_id").isNull())
+    return ready.mapInArrow(_gridded(metric, limit), schema)
 
 
 def rank(found: DataFrame, k: int) -> DataFrame:
@@ -104,19 +189,24 @@ def rank(found: DataFrame, k: int) -> DataFrame:
     return nearest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def exact(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "cosine", exclusions: DataFrame | None = None, strict: bool = False) -> DataFrame:
-    """(query_id, id, distance, rank). exclusions: (query_id, id) pairs that are no neighbours."""
+def exact(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "cosine", exclusions: DataFrame | None = None, strict: bool = True) -> DataFrame:
+    """(query_id, id, distance, rank). exclusions: (query_id, id) pairs that are no neighbours.
+
+    Fewer than k neighbours of any query is an error, unless strict is off.
+    """
     check_k(k)
-    copies = corpus.groupBy("id").count().agg(F.max("count")).first()[0] or 1
-    excluded = 0
+    asked, width = queries.select("query_id", "vector"), F.lit(k)
     if exclusions is not None:
-        excluded = exclusions.distinct().groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
-    # Copies of an id and excluded ids may fill a partition's best rows, so that many more are kept.
-    found = candidates(queries, corpus, (k + excluded) * copies, metric)
+        exclusions = exclusions.select("query_id", "id").distinct()
+        # Excluded ids may be the best of a part, so as many more are kept.
+        asked = asked.join(exclusions.groupBy("query_id").agg(F.count("*").alias("excluded")), "query_id", "left")
+        width = F.lit(k) + F.coalesce("excluded", F.lit(0))
+    found = candidates(asked, corpus, width, metric)
     if exclusions is not None:
-        found = found.join(exclusions.distinct(), ["query_id", "id"], "left_anti")
-    out = rank(found, k)
-    return require_k(out, queries, k) if strict else out
+        found = found.join(exclusions, ["query_id", "id"], "left_anti")
+    if not strict:
+        return rank(found, k)
+    return require_k(materialize(rank(found, k), "neighbours"), queries, k)
 
 
 def require_k(found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -132,11 +222,11 @@ def within(queries: DataFrame, corpus: DataFrame, limit: float, metric: str = "c
     return candidates(queries, corpus, 0, metric, limit).groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
 
 
-def stored(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+def stored(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", strict: bool = True) -> DataFrame:
     """Neighbours of stored ids: all ids of a query's own sequence are excluded. corpus: (id, sequence_id, vector)."""
     asked = queries.select(F.col("id").alias("query_id")).join(corpus.withColumnRenamed("id", "query_id"), "query_id")
     aliases = asked.select("query_id", "sequence_id").join(corpus.select("id", "sequence_id"), "sequence_id").select("query_id", "id")
-    return exact(asked.select("query_id", "vector"), corpus.select("id", "vector"), k, metric, aliases)
+    return exact(asked.select("query_id", "vector"), corpus.select("id", "vector"), k, metric, aliases, strict)
 
 
 def rerank(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", half: bool = False) -> DataFrame:
@@ -146,26 +236,6 @@ def rerank(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, k: int, metr
     return rank(joined.select("query_id", "id", vec.distance(metric, F.col("a"), F.col("b")).alias("distance")), k)
 
 
-def ivf(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", lists: int | None = None, probes: int | None = None, seed: int = 7) -> DataFrame:
-    """Approximate neighbours: coarse centroids, probed lists, exact order of the candidates."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    check_k(k)
-    n = corpus.count()
-    lists = max(1, min(n, lists or max(4, round(n**0.5))))
-    probes = max(1, min(lists, probes or 8))
-    unit = (lambda v: vec.normalize(vec.as_double(v))) if metric == "cosine" else vec.as_double
-    data = corpus.select("id", "vector", array_to_vector(unit("vector")).alias("features"))
-    model = KMeans(k=lists, seed=seed, maxIter=10).fit(data)
-    placed = model.transform(data).select("id", "vector", F.col("prediction").alias("list"))
-    centres = [[float(x) for x in c] for c in model.clusterCenters()]
-    centre_rows = corpus.sparkSession.createDataFrame([(i, c) for i, c in enumerate(centres)], "id int, vector array<double>")
-    near = exact(queries.select("query_id", unit("vector").alias("vector")), centre_rows, probes, "l2")
-    pairs = near.select("query_id", F.col("id").alias("list")).join(placed.select("id", "list"), "list").select("query_id", "id")
-    return rerank(pairs, queries, corpus, k, metric)
-
-
 def quality(approximate: DataFrame, truth: DataFrame) -> DataFrame:
     """Per query: share of the true neighbours found, and root mean square of the shared distances' difference."""
     t = truth.select("query_id", "id", F.col("distance").alias("true_distance"))

@@ -323,15 +323,6 @@ def tsk_run(spark, sf):
     return M.multiclass(done, "label", "prediction", done.select(F.col("label").alias("class")).distinct())
 
 
-@query()
-def knn_ivfpq(spark, sf):
-    """Product-quantised candidates, exact order; tests measure recall."""
-    from strandlake.operators import pq
-
-    v = vectors.vectors(spark, sf)
-    return vectors.shaped(pq.search(v.select(F.col("id").alias("query_id"), "vector"), v, 10))
-
-
 def split_vectors(spark, sf):
     v = vectors.vectors(spark, sf)
     return v.select("id", "vector", "label", F.when(F.substring(F.sha2(F.concat(F.lit("probe:"), F.col("id").cast("string")), 256), 1, 1) < "4", "test").otherwise("train").alias("split"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandlake.functions import vec
 from strandlake.operators import relational as R
 from strandlake.session import table
 
@@ -90,11 +91,11 @@ def join_anti(spark, sf):
     return table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
-@query("select a.c_custkey as id, string_agg(cast(b.c_custkey as varchar), ';' order by b.c_custkey) as aliases from customer a join customer b on a.c_nationkey = b.c_nationkey and a.c_custkey // 50 = b.c_custkey // 50 group by 1")
+@query("select a.c_custkey as id, b.c_custkey as alias from customer a join customer b on a.c_nationkey = b.c_nationkey")
 def join_alias_self(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", F.floor(F.col("c_custkey") / 50).alias("g"))
-    other = c.select(F.col("c_custkey").alias("alias"), "c_nationkey", "g")
-    return c.join(other, ["c_nationkey", "g"]).groupBy(F.col("c_custkey").alias("id")).agg(R.ordered_list(F.col("alias").cast("string"), F.col("alias")).alias("aliases"))
+    """All ids that share a key, each with each: a row per pair, as the client's alias join returns."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    return c.select(F.col("c_custkey").alias("id"), "c_nationkey").join(c.select(F.col("c_custkey").alias("alias"), "c_nationkey"), "c_nationkey").select("id", "alias")
 
 
 @query("select c_custkey, o_orderkey, o_totalprice, r as rank from customer left join (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as r from orders) on o_custkey = c_custkey and r <= 3")
@@ -114,11 +115,14 @@ def join_unnest(spark, sf):
     return table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("token"), "p_partkey").distinct()
 
 
-@query("select a.c_acctbal as balance_a, b.c_acctbal as balance_b, round(abs(a.c_acctbal - b.c_acctbal), 6) as gap from customer a, customer b where a.c_custkey = (select min(c_custkey) from customer) and b.c_custkey = (select max(c_custkey) from customer)")
+@query("select a.vec_id as id_a, b.vec_id as id_b, round(list_distance(a.embedding::double[], b.embedding::double[]), 6) as l2, round(1 - list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as cosine from embeddings a, embeddings b where a.vec_id = (select min(vec_id) from embeddings) and b.vec_id = (select max(vec_id) from embeddings)")
 def join_pair(spark, sf):
-    c = table(spark, sf, "customer")
-    ends = c.agg(F.min_by("c_acctbal", "c_custkey").alias("balance_a"), F.max_by("c_acctbal", "c_custkey").alias("balance_b"))
-    return ends.withColumn("gap", F.round(F.abs(F.col("balance_a") - F.col("balance_b")), 6))
+    """Distances of two named vectors, each found by its id."""
+    e = table(spark, sf, "embeddings").select("vec_id", vec.as_double("embedding").alias("v"))
+    ends = e.agg(F.min("vec_id").alias("id_a"), F.max("vec_id").alias("id_b"))
+    a, b = e.select(F.col("vec_id").alias("id_a"), F.col("v").alias("a")), e.select(F.col("vec_id").alias("id_b"), F.col("v").alias("b"))
+    pair = a.join(F.broadcast(ends), "id_a").join(b, "id_b")  # one row of two ids
+    return pair.select("id_a", "id_b", F.round(vec.l2(F.col("a"), F.col("b")), 6).alias("l2"), F.round(vec.cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
 
 
 @query("select r_name, string_agg(n_name || ':' || n, ';' order by n_name) as nations, cast(sum(n) as bigint) as customers from (select r_name, n_name, count(c_custkey) as n from region left join nation on n_regionkey = r_regionkey left join customer on c_nationkey = n_nationkey group by 1, 2) group by 1")
@@ -294,10 +298,12 @@ def idx_manifest(spark, sf):
     return parsed.select("name", "m.metric", "m.dim", F.coalesce("m.note", F.lit("none")).alias("note"))
 
 
-@query("select 'P' || c_custkey as protein_id, vec_id as sequence_id, round(embedding[1]::double, 6) as first from customer join embeddings on vec_id = c_custkey % 1000")
+@query("select 'P' || c_custkey as protein_id, vec_id as sequence_id, round(embedding[1]::double, 6) as first from customer join embeddings on vec_id = c_custkey % (select count(*) from embeddings)")
 def idx_protein_vectors(spark, sf):
-    ids = table(spark, sf, "customer").select(F.concat(F.lit("P"), F.col("c_custkey").cast("string")).alias("protein_id"), F.pmod("c_custkey", F.lit(1000)).alias("vec_id"))
-    return ids.join(table(spark, sf, "embeddings"), "vec_id").select("protein_id", F.col("vec_id").alias("sequence_id"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
+    ids = table(spark, sf, "customer").select(F.concat(F.lit("P"), F.col("c_custkey").cast("string")).alias("protein_id"), "c_custkey")
+    vectors = table(spark, sf, "embeddings")
+    ids = ids.join(F.broadcast(vectors.agg(F.count("*").alias("n"))), F.lit(True)).select("protein_id", F.pmod("c_custkey", "n").alias("vec_id"))  # one row
+    return ids.join(vectors, "vec_id").select("protein_id", F.col("vec_id").alias("sequence_id"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
 
 
 @query("select (r - 1) // 64 as batch, count(*) as n, min(vec_id) as first_id, max(vec_id) as last_id from (select vec_id, row_number() over (order by vec_id) as r from embeddings) group by 1")

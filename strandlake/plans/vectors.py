@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import vec
-from strandlake.operators import knn, probes
+from strandlake.operators import index, knn, probes
 from strandlake.session import table
+from strandlake.storage import fresh_path
 
 QUERIES, ORACLES = {}, {}
 
@@ -80,10 +81,10 @@ def vec_f16(spark, sf):
     return vectors(spark, sf).select("id", F.posexplode(vec.half(vec.as_double("vector"))).alias("pos", "value"))
 
 
-def self_neighbors(spark, sf, k=10, metric="cosine"):
+def self_neighbors(spark, sf, k=10, metric="cosine", strict=True):
     v = vectors(spark, sf)
     own = v.select(F.col("id").alias("query_id"), "id")
-    return knn.exact(v.select(F.col("id").alias("query_id"), "vector"), v, k, metric, own)
+    return knn.exact(v.select(F.col("id").alias("query_id"), "vector"), v, k, metric, own, strict)
 
 
 def shaped(found):
@@ -129,7 +130,7 @@ def knn_block_merge(spark, sf):
 def knn_ann_pool(spark, sf):
     """A pool of max(20 k, 200) candidates, reranked exactly."""
     v = vectors(spark, sf)
-    pool = self_neighbors(spark, sf, 200).select("query_id", "id")
+    pool = self_neighbors(spark, sf, 200, strict=False).select("query_id", "id")
     return shaped(knn.rerank(pool, v.select(F.col("id").alias("query_id"), "vector"), v, 10))
 
 
@@ -151,11 +152,26 @@ def knn_overlap(spark, sf):
     return knn.overlap(self_neighbors(spark, sf), self_neighbors(spark, sf, 10, "inner_product")).select("query_id", F.round("overlap", 6).alias("overlap"))
 
 
+def built_index(spark, sf, **options):
+    """An index of the stored vectors, built in the shared folder."""
+    root = fresh_path(spark, "index")
+    index.build(vectors(spark, sf), root, **options)
+    return index.load(spark, root)
+
+
 @query()
 def knn_ivf(spark, sf):
-    """Approximate; tests measure recall."""
+    """Lists alone: all codes of the probed lists are in the pool; tests measure recall."""
+    v = vectors(spark, sf)
+    found = index.search(built_index(spark, sf, parts=8), v.select(F.col("id").alias("query_id"), "vector"), v, 10, pool=1 << 30, strict=False)
+    return shaped(found)
+
+
+@query()
+def knn_ivfpq(spark, sf):
+    """Product-quantised candidates from a written index, exact order; tests measure recall with these parameters."""
     v = vectors(spark, sf)
-    return shaped(knn.ivf(v.select(F.col("id").alias("query_id"), "vector"), v, 10))
+    return shaped(index.search(built_index(spark, sf), v.select(F.col("id").alias("query_id"), "vector"), v, 10, strict=False))
 
 
 @query("select count(*) as n_short from (select e.vec_id from embeddings e where (select count(*) from embeddings) - 1 < 10)")

@@ -20,8 +20,10 @@ def fasta_records(records: DataFrame, id_from: str = "record_id") -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str, id_from: str = "record_id") -> DataFrame:
-    """FASTA files, compressed ones included; a record is what stands between '>' signs."""
-    return fasta_records(spark.read.option("lineSep", ">").text(path), id_from)
+    """FASTA files, compressed ones included; a record starts at a line that starts with '>'."""
+    # Records are cut at line ends that '>' follows; what a file begins with has no line end before it.
+    lines = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value"))
+    return fasta_records(lines, id_from)
 
 
 def fasta_aliases(records: DataFrame) -> DataFrame:
