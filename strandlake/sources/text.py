@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 NAME_PRIORITY = ("scientific name", "genbank common name", "common name", "synonym")
 
 
-def fasta_records(records: DataFrame, id_from: str = "record_id") -> DataFrame:
-    """(id, description, sequence) of one column `value`, a record's text after '>'."""
+def fasta_records(records: DataFrame, id_from: str = "record_id", keep: list[str] | None = None) -> DataFrame:
+    """(id, description, sequence) of one column `value`, a record's text after '>', and columns to keep."""
     if id_from not in ("record_id", "description"):
         raise ValueError("id_from must be record_id or description")
     lines = F.split(F.regexp_replace("value", "\r", ""), "\n")
     header = F.trim(F.get(lines, F.lit(0)))
     sequence = F.regexp_replace(F.array_join(F.slice(lines, F.lit(2), F.size(lines)), ""), r"\s+", "")
     name = F.get(F.split(header, r"\s+"), F.lit(0)) if id_from == "record_id" else header
-    return records.where(F.length(F.trim("value")) > 0).select(name.alias("id"), header.alias("description"), sequence.alias("sequence"))
+    return records.where(F.length(F.trim("value")) > 0).select(name.alias("id"), header.alias("description"), sequence.alias("sequence"), *(keep or []))
 
 
 def read_fasta(spark: SparkSession, path: str, id_from: str = "record_id") -> DataFrame:

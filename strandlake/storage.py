@@ -59,3 +59,12 @@ def discard(df: DataFrame) -> None:
     if path := getattr(df, "_strandlake_path", None):
         fs, hadoop = file_system(df.sparkSession, path)
         fs.delete(hadoop, True)
+
+
+def write_bytes(spark: SparkSession, path: str, body: bytes) -> str:
+    """A small file in any file system that Spark knows; the path."""
+    fs, hadoop = file_system(spark, path)
+    out = fs.create(hadoop, True)
+    out.write(bytearray(body))
+    out.close()
+    return path
