@@ -6,7 +6,10 @@ parts. Centres are fitted by k-means on at most `sample` vectors, the smallest
 hashes of their ids; every vector is coded. Generations are published as those of
 a store are, so a failed rebuild keeps the former one.
 
-A search sends each query to its `probes` nearest lists, adds up tabled distances
+At the build, some of the training vectors look for their nearest neighbours among
+all of them: the fewest lists that hold COVERED of these are the index's own
+`probes`, kept in its manifest, since data without clusters need many more than
+clustered data. A search sends each query to its `probes` nearest lists, adds up tabled distances
 of the codes there, and orders the `pool` best by exact distances. Lists are
 searched in pieces of at most PIECE codes.
 """
@@ -27,7 +30,9 @@ from strandlake.functions import vec
 from strandlake.operators import knn, store
 from strandlake.storage import file_system, materialize
 
-SAMPLE, ITERATIONS, CODES, POOL, PROBES = 20_000, 12, 256, 1000, 8
+SAMPLE, ITERATIONS, CODES, POOL = 20_000, 12, 256, 1000
+#: Share of true neighbours that the probed lists should hold, and the training vectors and neighbours that it is read from.
+COVERED, ASKED, NEIGHBOURS = 0.97, 256, 50
 PIECE = 1 << 17
 
 
@@ -99,7 +104,21 @@ class Quantizer:
         return out
 
 
-def train(vectors: DataFrame, metric: str, lists: int | None, parts: int, codes: int, sample: int, seed: int) -> Quantizer:
+def probes_needed(quantizer: Quantizer, x: np.ndarray, seed: int) -> int:
+    """The fewest lists, nearest first, that hold COVERED of the neighbours of some of the vectors."""
+    q = x[np.random.default_rng(seed).choice(len(x), min(len(x), ASKED), replace=False)]
+    own = assign(x, quantizer.centres)[0]
+    order = quantizer.probe(q, len(quantizer.centres))
+    place = np.argsort(order, axis=1)
+    k = min(len(x) - 1, NEIGHBOURS)
+    if k < 1:
+        return 1
+    near = np.argpartition(knn.distances(q, x, quantizer.metric), k, axis=1)[:, : k + 1]
+    at = np.sort(np.take_along_axis(place, own[near], 1).ravel())
+    return int(at[min(len(at) - 1, int(COVERED * len(at)))]) + 1
+
+
+def train(vectors: DataFrame, metric: str, lists: int | None, parts: int, codes: int, sample: int, seed: int) -> tuple[Quantizer, int]:
     if metric not in vec.METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     if not 1 <= codes <= 256:
@@ -119,7 +138,7 @@ def train(vectors: DataFrame, metric: str, lists: int | None, parts: int, codes:
     books = [kmeans(rest[:, p], codes, seed + 1 + p) for p in range(parts)]
     most = max(map(len, books))
     out.books = np.stack([np.concatenate([b, np.full((most - len(b), b.shape[1]), 1e12)]) for b in books])  # unused codes are far from everything
-    return out
+    return out, probes_needed(out, x, seed)
 
 
 def _write_codes(vectors: DataFrame, quantizer: Quantizer, path: str) -> int:
@@ -144,12 +163,12 @@ def build(vectors: DataFrame, root: str, metric: str = "cosine", lists: int | No
         return found["manifest"]
     if found["state"] in ("stale", "invalid") and not overwrite:
         raise ValueError(f"the index at {root} is {found['state']}; pass overwrite=True to rebuild it")
-    quantizer = train(vectors, metric, lists, parts, codes, sample, seed)
+    quantizer, probes = train(vectors, metric, lists, parts, codes, sample, seed)
     name = uuid.uuid4().hex
     row = [(metric, quantizer.centres.tolist(), quantizer.books.tolist())]
     spark.createDataFrame(row, "metric string, centres array<array<double>>, books array<array<array<double>>>").coalesce(1).write.parquet(f"{root}/part-q{name}")
     n = _write_codes(vectors, quantizer, f"{root}/part-{name}")
-    manifest = {"kind": "ivfpq", "quantizer": f"part-q{name}", "parts": [f"part-{name}"], "keep": [f"part-q{name}"], "metric": metric, "dim": int(quantizer.centres.shape[1]), "lists": len(quantizer.centres), "count": n, "revision": live}
+    manifest = {"kind": "ivfpq", "quantizer": f"part-q{name}", "parts": [f"part-{name}"], "keep": [f"part-q{name}"], "metric": metric, "dim": int(quantizer.centres.shape[1]), "lists": len(quantizer.centres), "probes": probes, "count": n, "revision": live}
     store.publish(spark, root, manifest)
     return manifest
 
@@ -189,7 +208,7 @@ def load(spark: SparkSession, root: str) -> Index:
 
 def retrieve(index: Index, queries: DataFrame, pool: int = POOL, probes: int | None = None) -> DataFrame:
     """(query_id, id, approximate): the pool of each query, by tabled distances of the codes in the lists that it asks."""
-    probes = min(index.manifest["lists"], PROBES) if probes is None else probes
+    probes = index.manifest["probes"] if probes is None else probes
     if not 1 <= probes <= index.manifest["lists"]:
         raise ValueError(f"probes must lie in [1, {index.manifest['lists']}]")
     quantizer, dims = index.quantizer, index.manifest["dim"]

@@ -86,6 +86,29 @@ def multilabel(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     )
 
 
+def exact_match(truth: DataFrame, predicted: DataFrame, entities: DataFrame) -> DataFrame:
+    """(exact_match): the share of entities (entity) whose predicted terms are exactly the true ones."""
+    marked = truth.distinct().withColumn("t", F.lit(1)).join(predicted.distinct().withColumn("p", F.lit(1)), ["entity", "term"], "full_outer")
+    wrong = marked.where("t is null or p is null").select("entity").distinct().withColumn("wrong", F.lit(1))
+    return entities.distinct().join(wrong, "entity", "left").agg(safe(F.count_if(F.col("wrong").isNull()), F.count("*")).alias("exact_match"))
+
+
+def average_precision(truth: DataFrame, scores: DataFrame, classes: DataFrame) -> DataFrame:
+    """(average_precision): the mean over classes (term) of the step average precision; a class without positives counts 0.
+
+    scores (entity, term, score); pairs without a score have 0. Tied scores are one
+    step. Scores are counted per class before the running sums, which run over
+    ranges of (class, score).
+    """
+    joined = scores.join(truth.distinct().withColumn("t", F.lit(1)), ["entity", "term"], "full_outer").select("term", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("t", F.lit(0)).alias("t"))
+    steps = joined.groupBy("term", "score").agg(F.sum("t").alias("p"), F.count("*").alias("n"))
+    summed = running_sum(running_sum(steps, "p", "term", -F.col("score"), name="bp"), "n", "term", -F.col("score"), name="bn")
+    firsts = summed.groupBy("term").agg(F.min("bp").alias("fp"), F.min("bn").alias("fn"), F.sum("p").alias("whole"))
+    tp, n = F.col("bp") - F.col("fp") + F.col("p"), F.col("bn") - F.col("fn") + F.col("n")
+    per = summed.join(firsts, "term").groupBy("term").agg(F.sum(F.col("p") * tp / n).alias("s"), F.first("whole").alias("whole"))
+    return classes.distinct().join(per, "term", "left").agg(F.avg(safe(F.col("s"), F.col("whole"))).alias("average_precision"))
+
+
 def bucket(score: Column, points: int = 101) -> Column:
     """The number of grid points i/(points-1) at or under a score, less one: the last threshold that predicts it."""
     guess = F.floor(score * (points - 1)).cast("int")

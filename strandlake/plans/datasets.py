@@ -10,7 +10,10 @@ from strandlake.operators import relational as R
 from strandlake.operators.order import average_ranks, group_index
 from strandlake.plans import vectors
 from strandlake.session import table
+from strandlake.sources import datasets as D
+from strandlake.sources import embeddings as E
 from strandlake.sources import text as S
+from strandlake.storage import fresh_path, write_bytes
 
 QUERIES, ORACLES = {}, {}
 
@@ -29,6 +32,16 @@ def rows(spark, schema, *values):
     return spark.createDataFrame(list(values), schema)
 
 
+def put(spark, name, body):
+    """A small file in the shared folder."""
+    return write_bytes(spark, f"{fresh_path(spark, 'files')}/{name}", body.encode() if isinstance(body, str) else body)
+
+
+def digits(df):
+    """Labels as one text."""
+    return df.withColumn("labels", F.array_join(F.col("labels").cast("array<string>"), ""))
+
+
 def lines(spark, *values):
     return spark.createDataFrame([(v, i) for i, v in enumerate(values)], "value string, _position int")
 
@@ -103,9 +116,7 @@ def ds_interval_labels(spark, sf):
 @query("select * from (values ('a', '1;0;1'), ('b', '1;0'), ('c', '1;1;0'), ('d', '0;1')) as v(id, labels)")
 def ds_label_parse(spark, sf):
     raw = rows(spark, "id string, raw string", ("a", "[1, 0, 1]"), ("b", "1,0"), ("c", "110"), ("d", " 0 1 "))
-    t = F.trim("raw")
-    parsed = F.when(t.startswith("["), F.from_json(t, "array<string>")).when(t.contains(","), F.split(t, r"\s*,\s*")).when(t.contains(" "), F.split(t, r"\s+")).otherwise(F.filter(F.split(t, ""), lambda x: x != ""))
-    return raw.select("id", F.array_join(parsed, ";").alias("labels"))
+    return raw.select("id", F.array_join(D.parse_labels(F.col("raw")), ";").alias("labels"))
 
 
 @query("select lang || case when r = 1 then '' else '__dup' || (r - 1) end as id, doc_id from (select doc_id, lang, row_number() over (partition by lang order by doc_id) as r from documents)")
@@ -116,70 +127,126 @@ def ds_dup_ids(spark, sf):
 
 @query("select * from (values ('train', 'AC', 1.5), ('val', 'CC', null), ('test', 'DD', -2.0)) as v(split, sequence, target)")
 def ds_flip(spark, sf):
-    raw = rows(spark, "sequence string, target string, part string, validation string", ("AC", "1.5", "train", "False"), ("CC", "nan", "train", "True"), ("DD", "-2", "test", ""))
-    split = F.when(F.col("part") == "test", "test").when(F.lower("validation").isin("true", "1"), "val").otherwise("train")
-    number = F.col("target").try_cast("double")
-    return raw.select(split.alias("split"), "sequence", F.when(~F.isnan(number), number).alias("target"))
+    """A file of the format's shape, read from the shared folder; so are those of the next queries."""
+    path = put(spark, "flip.csv", "sequence,target,set,validation\nAC,1.5,train,False\nCC,nan,train,True\nDD,-2,test,\n")
+    return D.read_flip(spark, path).select("split", "sequence", "target")
 
 
 @query("select * from (values ('a', 'MSTY', '0100'), ('b', 'KK', '01')) as v(id, sequence, labels)")
 def ds_marked(spark, sf):
     """'#' marks the residue before it."""
-    raw = rows(spark, "id string, marked string", ("a", "MS#TY"), ("b", "KK#"))
-    each = F.regexp_extract_all("marked", F.lit("([^#]#?)"))
-    return raw.select("id", F.array_join(F.transform(each, lambda x: F.substring(x, 1, 1)), "").alias("sequence"), F.array_join(F.transform(each, lambda x: F.when(x.endswith("#"), "1").otherwise("0")), "").alias("labels"))
+    return digits(D.read_marked(spark, put(spark, "marked.fasta", ">a\nMS#TY\n>b\nKK#\n"))).select("id", "sequence", "labels")
 
 
-@query("select * from (values ('P1', '2;5'), ('P2', '11')) as v(id, sites)")
+@query("select * from (values ('1abA', '2;5'), ('2cdB', '11')) as v(id, sites)")
 def ds_biolip(spark, sf):
-    raw = rows(spark, "id string, ligand string, residues string", ("P1", "ZN", "A2 C5"), ("P2", "CA", "K11"), ("P3", "DNA", "K3"))
-    return raw.where(F.col("ligand").isin("ZN", "CA")).select("id", F.array_join(F.regexp_extract_all("residues", F.lit(r"(\d+)(?:\s|$)")), ";").alias("sites"))
+    """Binding positions of ligands that are no nucleic acids or peptides."""
+    line = lambda pdb, chain, ligand, at, seq: "\t".join([pdb, chain, "x", "x", ligand, "x", "x", "x", at, *["x"] * 11, seq])
+    body = "\n".join([line("1ab", "A", "ZN", "A2 C5", "MAKVC"), line("2cd", "B", "CA", "K11", "MKVLAMKVLAK"), line("3ef", "A", "dna", "K3", "MMK")])
+    found = D.read_biolip(spark, put(spark, "biolip.txt", body + "\n"), "other")
+    at = F.filter(F.transform("labels", lambda x, i: F.when(x == 1, i + 1)), lambda x: x.isNotNull())
+    return found.select("id", F.array_join(at.cast("array<string>"), ";").alias("sites"))
 
 
-@query("select id, n, frac, case when frac < 0.1 then 'low' when frac < 0.3 then 'some' when frac < 0.6 then 'much' else 'most' end as bin from (values ('a', 3, 0.3), ('b', 8, 0.8), ('c', 0, 0.0)) as v(id, n, frac)")
+@query("select * from (values ('a', 3, 0.3, '30-60%'), ('b', 8, 0.8, '60-100%'), ('c', 1, 0.05, '0-10%')) as v(id, n, frac, bin)")
 def ds_disprot(spark, sf):
-    raw = rows(spark, "id string, length int, body string", ("a", 10, '{"regions":[{"start":1,"end":2},{"start":2,"end":3}]}'), ("b", 10, '{"regions":[{"start":3,"end":10}]}'), ("c", 10, '{"regions":[]}'))
-    regions = F.from_json("body", "regions array<struct<start:int,end:int>>")["regions"]
-    inside = F.size(F.array_distinct(F.flatten(F.transform(regions, lambda r: F.sequence(r["start"], r["end"])))))
-    frac = F.round(inside / F.col("length"), 6)
-    bin_ = F.when(frac < 0.1, "low").when(frac < 0.3, "some").when(frac < 0.6, "much").otherwise("most")
-    return raw.select("id", inside.alias("n"), frac.alias("frac"), bin_.alias("bin"))
+    entry = lambda name, n, *spans: '{"disprot_id":"%s","sequence":"%s","regions":[%s]}' % (name, "M" * n, ",".join('{"start":%d,"end":%d}' % x for x in spans))  # noqa: E731, UP031
+    body = '{"entries":[' + ",".join([entry("a", 10, (1, 2), (2, 3)), entry("b", 10, (3, 10)), entry("c", 20, (7, 7))]) + "]}"
+    found = D.read_disprot_json(spark, put(spark, "disprot.json", body))
+    return found.select("id", F.aggregate("labels", F.lit(0), lambda a, x: a + x).alias("n"), F.round("disorder_fraction", 6).alias("frac"), F.col("disorder_bin").alias("bin"))
 
 
-@query("select * from (values ('Q1', 'S+T', 2), ('Q2', 'Y', 1)) as v(id, strata, n)")
+@query("select * from (values ('Q1', 'S+T', '0110', 1), ('Q2', 'Y', '01', 0)) as v(id, strata, labels, htp)")
 def ds_phospho(spark, sf):
-    raw = rows(spark, "id string, sequence string, position int, code string", ("Q1", "MSTY", 2, "S"), ("Q1", "MSTY", 3, "T"), ("Q2", "AY", 2, "Y"), ("Q2", "AY", 1, "S"))
-    ok = raw.where(F.substring("sequence", F.col("position"), F.lit(1)) == F.col("code"))
-    return ok.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("code")), "+").alias("strata"), F.count("*").cast("int").alias("n"))
+    head = "acc\tsequence\tposition\tcode\tsource\n"
+    path = put(spark, "phospho.tsv", head + "Q1\tMSTY\t2\tS\tHTP\nQ1\tMSTY\t3\tT\tLTP\nQ2\tAY\t2\tY\tother\n")
+    return digits(D.read_phospho(spark, path)).select("id", F.col("stratum").alias("strata"), "labels", F.col("htp").cast("int").alias("htp"))
 
 
 @query("select * from (values ('A', 'MK', 'GO:1;GO:2')) as v(id, sequence, terms)")
 def ds_cafa(spark, sf):
-    seqs = rows(spark, "id string, sequence string", ("A", "MK"), ("B", "GG"))
-    terms = rows(spark, "id string, term string, aspect string", ("A", "GO:2", "F"), ("A", "GO:1", "F"), ("A", "GO:9", "P"), ("C", "GO:1", "F"))
-    kept = terms.where("aspect = 'F'").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("term")), ";").alias("terms"))
-    return seqs.join(kept, "id").select("id", "sequence", "terms")
+    fasta = put(spark, "train.fasta", ">A\nMK\n>B\nGG\n")
+    terms = put(spark, "terms.tsv", "EntryID\tterm\taspect\nA\tGO:2\tF\nA\tGO:1\tMFO\nA\tGO:9\tP\nC\tGO:1\tF\n")
+    return D.read_cafa(spark, fasta, terms, "mf").select("id", "sequence", F.array_join("terms", ";").alias("terms"))
 
 
 @query("select doc_id as id, case when doc_id % 9 = 0 then 'test' else 'train' end as split from documents where doc_id % 9 = 0 or doc_id not in (select doc_id from documents where doc_id % 9 = 0)")
 def ds_cafa_subset(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
-    test = d.where(F.pmod("id", F.lit(9)) == 0)
-    return test.withColumn("split", F.lit("test")).unionAll(d.join(test, "id", "left_anti").withColumn("split", F.lit("train")))
+    return D.released_subset(d, d.where(F.pmod("id", F.lit(9)) == 0))
 
 
 @query("select * from (values ('x', '1.1.1.1', '1.1')) as v(id, label, level2)")
 def ds_ec(spark, sf):
-    raw = rows(spark, "line string", ('{"id":"x","labels_exact":["1.1.1.1"],"metadata":{"ec_level2":"1.1"}}',), ('{"id":"y","labels_exact":["1.1.1.1","2.1.1.1"]}',))
-    r = raw.select(F.from_json("line", "id string, labels_exact array<string>, metadata struct<ec_level2:string>").alias("r")).select("r.*")
-    return r.where(F.size("labels_exact") == 1).select("id", F.get("labels_exact", F.lit(0)).alias("label"), F.col("metadata.ec_level2").alias("level2"))
+    body = '{"id":"x","labels_exact":["1.1.1.1"],"metadata":{"ec_level2":"1.1"}}\n{"id":"y","labels_exact":["1.1.1.1","2.1.1.1"]}\n'
+    r = D.read_term_jsonl(spark, put(spark, "ec.jsonl", body), "labels_exact", single=True)
+    return r.select("id", F.get("labels", F.lit(0)).alias("label"), F.element_at("metadata", "ec_level2").alias("level2"))
 
 
 @query("select * from (values ('x', 'GO:1;GO:2')) as v(id, labels)")
 def ds_go(spark, sf):
-    raw = rows(spark, "line string", ('{"id":"x","labels_asserted":["GO:2"," GO:1","GO:2"]}',), ("",))
-    r = raw.where(F.trim("line") != "").select(F.from_json("line", "id string, labels_asserted array<string>", {"mode": "FAILFAST"}).alias("r")).select("r.*")
-    return r.select("id", F.array_join(F.array_sort(F.array_distinct(F.transform("labels_asserted", lambda x: F.trim(x)))), ";").alias("labels"))
+    body = '{"id":"x","labels_asserted":["GO:2"," GO:1","GO:2"]}\n\n'
+    return D.read_term_jsonl(spark, put(spark, "go.jsonl", body)).select("id", F.array_join("labels", ";").alias("labels"))
+
+
+@query("select o_orderkey as id, string_agg(case when pos in (select l_linenumber from lineitem where l_orderkey = o_orderkey) then '1' else '0' end, '' order by pos) as labels from orders, (select unnest(range(1, 8)) as pos) where o_orderkey in (select l_orderkey from lineitem) group by 1")
+def ds_intervals(spark, sf):
+    """Labels of whole tables' intervals: a sequence of seven positions per order, one interval per line."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.lit("MKVLAMK").alias("sequence"), F.col("l_linenumber").alias("start"), F.col("l_linenumber").alias("end"))
+    return digits(D.interval_labels(lines)).select("id", "labels")
+
+
+@query("select * from (values ('Site_neg:x', 'AAKAA', '00000'), ('Site_pos:x', 'AASAA', '00100'), ('Site_pos:x__dup2', 'CCSCC', '00100')) as v(id, sequence, labels)")
+def ds_windows(spark, sf):
+    """Site windows of an archive's members."""
+    import io
+    import tarfile
+
+    raw = io.BytesIO()
+    with tarfile.open(fileobj=raw, mode="w:gz") as archive:
+        for name, body in (("Site_pos.fasta", b">x\nAASAA\n>x\nCCSCC\n"), ("Site_neg.fasta", b">x\nAAKAA\n")):
+            info = tarfile.TarInfo(name)
+            info.size = len(body)
+            archive.addfile(info, io.BytesIO(body))
+    return digits(D.read_site_windows(spark, put(spark, "windows.tar.gz", raw.getvalue()))).select("id", "sequence", "labels")
+
+
+@query("select * from (values ('GO:1', 0.75), ('GO:2', 1.25)) as v(term, weight)")
+def ds_weights(spark, sf):
+    return D.read_weights(spark, put(spark, "weights.tsv", "# head\nGO:1\t0.5\n\nGO:2,1.25\nGO:1 0.75\n"))
+
+
+@query("select 'F' || c_custkey as id, upper(regexp_replace(c_name, '[^A-Za-z]', '', 'g')) as sequence from customer")
+def src_fasta(spark, sf):
+    """A FASTA file of all customers, written by Spark and read again."""
+    c = table(spark, sf, "customer").select(F.concat(F.lit(">F"), F.col("c_custkey").cast("string"), F.lit(" -> x\n"), F.upper(F.regexp_replace("c_name", "[^A-Za-z]", ""))).alias("value"))
+    path = fresh_path(spark, "fasta")
+    c.write.text(path)
+    return S.read_fasta(spark, path).select("id", "sequence")
+
+
+@query("select c_custkey as id, c_name as name from customer")
+def src_csv(spark, sf):
+    """A table of all customers with a header, written by Spark and read again."""
+    path = fresh_path(spark, "csv")
+    table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).write.option("header", True).option("sep", "\t").csv(path)
+    return S.read_table(spark, path, "id long, name string", ["id", "name"])
+
+
+@query("select event_id, event_type, user_id from events")
+def src_jsonl(spark, sf):
+    """JSON lines of all events, written by Spark and read again."""
+    path = fresh_path(spark, "jsonl")
+    table(spark, sf, "events").select("event_id", "event_type", "user_id").write.json(path)
+    return S.read_jsonl(spark, path, "event_id long, event_type string, user_id long")
+
+
+@query("select vec_id as id, round(embedding[1]::double, 6) as first, len(embedding) as dim from embeddings")
+def src_arrays(spark, sf):
+    """All stored vectors as npz shards and read again."""
+    path = fresh_path(spark, "shards")
+    E.write_shards(vectors.vectors(spark, sf).select("id", "vector"), path, 5000)
+    return E.read_arrays(spark, path).select(F.col("id").cast("long").alias("id"), F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("first"), F.size("vector").cast("long").alias("dim"))
 
 
 CATALOG = (("flip_gb1", "Protein GB1 fitness", "protein", "regression", "fitness flip", True), ("go_mf", "Gene ontology molecular function", "protein", "multilabel", "function go", True), ("disorder", "Residue disorder", "residue", "binary", "disorder", False))

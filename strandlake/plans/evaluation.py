@@ -86,6 +86,25 @@ def met_multilabel(spark, sf):
     return rounded(metrics.multilabel(truth, predicted))
 
 
+@query("with t as (select distinct p_partkey as e, unnest(string_split(p_name, ' ')) as k from part), p as (select distinct p_partkey as e, unnest(string_split(case when p_size > 10 then p_name else 'red' end, ' ')) as k from part), w as (select distinct coalesce(t.e, p.e) as e from t full join p on t.e = p.e and t.k = p.k where t.e is null or p.e is null) select round(1 - (select count(*) from w) / (select count(*) from part), 6) as exact_match")
+def met_exact_match(spark, sf):
+    p = table(spark, sf, "part")
+    truth = p.select(F.col("p_partkey").alias("entity"), F.explode(F.split("p_name", " ")).alias("term"))
+    predicted = p.select(F.col("p_partkey").alias("entity"), F.explode(F.split(F.when(F.col("p_size") > 10, F.col("p_name")).otherwise("red"), " ")).alias("term"))
+    return rounded(metrics.exact_match(truth, predicted, p.select(F.col("p_partkey").alias("entity"))))
+
+
+@query("with t as (select distinct p_partkey as e, unnest(string_split(p_name, ' ')) as k from part), s as (select p_partkey as e, k, (p_partkey * 13 + length(k) * 7 + p_size) % 50 / 50.0 as s from part, (select distinct k from t) c), j as (select s.k, s.s, (t.e is not null)::int as y from s left join t on t.e = s.e and t.k = s.k), g as (select k, s, sum(y) as p, count(*) as n from j group by 1, 2), c as (select *, sum(p) over (partition by k order by s desc) as tp, sum(n) over (partition by k order by s desc) as cn from g) select round(avg(a), 6) as average_precision from (select k, sum(p * tp / cn) / sum(p) as a from c group by 1)")
+def met_average_precision(spark, sf):
+    """Macro average precision over name words; every part has a score for every word."""
+    p = table(spark, sf, "part")
+    truth = p.select(F.col("p_partkey").alias("entity"), F.explode(F.split("p_name", " ")).alias("term")).distinct()
+    words = truth.select("term").distinct()
+    every = p.select("p_partkey", "p_size").join(F.broadcast(words), F.lit(True))  # a few dozen words of a fixed vocabulary
+    score = F.pmod(F.col("p_partkey") * 13 + F.length("term") * 7 + F.col("p_size"), F.lit(50)) / 50.0
+    return rounded(metrics.average_precision(truth, every.select(F.col("p_partkey").alias("entity"), "term", score.cast("double").alias("score")), words))
+
+
 @query("select user_id, count(*) as n, round(count(*) filter ((value > 10) = (event_type = 'view')) / count(*), 6) as accuracy from events group by 1")
 def met_per_entity(spark, sf):
     right = (F.col("value") > 10) == (F.col("event_type") == "view")

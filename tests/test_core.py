@@ -107,6 +107,12 @@ def test_index_life_and_recall(spark, tmp_path, metric):
     assert found.codes.count() == 2000 and found.codes.select("id").distinct().count() == 2000
     got = knn.quality(index.search(found, queries, corpus, 10), knn.exact(queries, corpus, 10, metric))
     assert got.agg(F.avg("recall")).first()[0] >= 0.9
+    # Without clusters most lists are needed, and the index knows.
+    loose = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=32)]) for i in range(1500)], "id long, vector array<double>")
+    index.build(loose, f"file://{tmp_path}/loose", metric)
+    asked = loose.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+    again = knn.quality(index.search(index.load(spark, f"file://{tmp_path}/loose"), asked, loose, 10), knn.exact(asked, loose, 10, metric))
+    assert again.agg(F.avg("recall")).first()[0] >= 0.9
     for bad in ({"probes": 0}, {"probes": 10_000}, {"pool": 2}):
         with pytest.raises(ValueError):
             index.search(found, queries, corpus, 10, **bad)
