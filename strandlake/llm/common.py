@@ -11,6 +11,8 @@ __all__ = ["connected_components", "discard", "fresh_path", "join_spread", "join
 
 #: A hub has more than a HUBS-th of all edge ends or rows, so that there are fewer than HUBS of them.
 HUBS = 1000
+#: Edge ends or rows of one key that a task may hold without further ado.
+PLAIN = 100_000
 
 
 def join_unique(rows: DataFrame, unique: DataFrame, key: str, weight: str, total: int) -> DataFrame:
@@ -52,7 +54,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star rounds: each aggregates the smallest
     neighbour of a node with map-side partial aggregation and joins it back. Hubs,
     fewer than HUBS, are joined by broadcast, so no hub's neighbours meet in one
-    task; any other node has at most a HUBS-th of all edge ends. The driver sees
+    task; any other node has at most a HUBS-th of all edge ends, or PLAIN of them.
+    The driver sees
     two numbers a round. Null ends and loops are ignored; an empty edge list gives
     an empty result.
     """
@@ -68,7 +71,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if tuple(state) == seen or state[0] == 0:
             break
         seen = tuple(state)
-        half = materialize(_star(pairs, state[0], large=True), "edges")
+        half = _star(pairs, state[0], large=True)
+        if 2 * state[0] > PLAIN:  # hubs are planned apart: one step a plan
+            half = materialize(half, "edges")
         nxt = materialize(_star(half, state[0], large=False), "edges")
         discard(pairs)
         discard(half)
@@ -84,13 +89,16 @@ def _star(pairs: DataFrame, n: int, large: bool) -> DataFrame:
     """One star step on n edges, or fewer, with u > v."""
     around = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else pairs
     least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("degree"))
-    most = max(2 * n // HUBS, 1)
-    # The sum of degrees is 2 n at most, so fewer than HUBS nodes have a larger one than 2 n / HUBS.
-    hubs = F.broadcast(least.where(F.col("degree") > most).select("u", F.col("m").alias("hub")))
-    marked = around.join(hubs, "u", "left")
-    near = marked.where("hub is not null").select("u", "v", F.col("hub").alias("m")).unionAll(
-        marked.where("hub is null").select("u", "v").join(least.where(F.col("degree") <= most).select("u", "m"), "u")
-    )
+    most = max(2 * n // HUBS, PLAIN)
+    if 2 * n <= most:  # no node can have more
+        near = around.join(least.select("u", "m"), "u")
+    else:
+        # The sum of degrees is 2 n at most, so fewer than HUBS nodes have a larger one than 2 n / HUBS.
+        hubs = F.broadcast(least.where(F.col("degree") > most).select("u", F.col("m").alias("hub")))
+        marked = around.join(hubs, "u", "left")
+        near = marked.where("hub is not null").select("u", "v", F.col("hub").alias("m")).unionAll(
+            marked.where("hub is null").select("u", "v").join(least.where(F.col("degree") <= most).select("u", "m"), "u")
+        )
     if large:  # every larger neighbour of a node moves to the smallest one
         moved = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:  # a node and its smaller neighbours move to the smallest one

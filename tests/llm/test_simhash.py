@@ -92,3 +92,14 @@ def test_keep_one_of_each_component(spark):
     named = {c for _, _, c in brute_components(rows) if c is not None}
     assert {i for i, _ in got if i is not None} == named and len(got) == len(components)
     assert set(got) <= set(rows)
+
+
+def test_hubs_are_joined_apart(spark, monkeypatch):
+    """Stars and paths with the limits so low that most centres are hubs."""
+    from strandlake.llm import common
+
+    monkeypatch.setattr(common, "PLAIN", 4)
+    edges = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 130)] + [(200 + i % 3, 300 + i) for i in range(40)] + [(200, 201)]
+    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "u long, v long")).collect()))
+    want = {i: 0 for i in range(60)} | {i: 100 for i in range(100, 131)} | {n: 202 if n >= 300 and (n - 300) % 3 == 2 or n == 202 else 200 for n in [200, 201, 202, *range(300, 340)]}
+    assert got == want
