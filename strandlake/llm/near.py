@@ -40,7 +40,7 @@ from strandlake.llm.simhash import first_rows, links, majority, shingle_hashes,
 
 SEED, SHINGLE, LEAST = 42, 5, 0.8
 BANDS, ROWS = 40, 6
-HASHES_AT_ONCE = 1 << 10
+HASHES_AT_ONCE, ROWS_AT_ONCE = 1 << 10, 256
 #: Bytes of sets in a block of a key's grid, and what a row has besides its set.
 RUN_BYTES, ROW_BYTES = 16 << 20, 512
 
@@ -67,15 +67,26 @@ def _set_id(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that a task holds few sets at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def _sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text_sha, node, size, fp, keys) of every row."""
 
+    def sketch(text: str | None) -> tuple[int, int, int, np.ndarray]:
+        hashes = shingle_hashes(text, SHINGLE)
+        found = np.unique(hashes)
+        return _set_id(found), len(found), majority(hashes), band_keys(found)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = [shingle_hashes(t.as_py(), SHINGLE) for t in batch.column(2)]
-            sets = [np.unique(h) for h in hashes]
+        for batch in _slices(batches):
+            nodes, sizes, prints, keys = zip(*(sketch(t.as_py()) for t in batch.column(2)), strict=True)
             as_long = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
-            columns = [batch.column(0), batch.column(1), as_long([_set_id(s) for s in sets]), pa.array([len(s) for s in sets], pa.int32()), as_long([majority(h) for h in hashes]), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
+            columns = [batch.column(0), batch.column(1), as_long(nodes), pa.array(sizes, pa.int32()), as_long(prints), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "text_sha", "node", "size", "fp", "keys"])
 
     return df.select(id_col, text_sha(text_col).alias("text_sha"), F.col(text_col)).mapInArrow(run, f"{id_col} {dict(df.dtypes)[id_col]}, text_sha string, node long, size int, fp long, keys array<long>")
@@ -85,7 +96,7 @@ def _sets(texts: DataFrame) -> DataFrame:
     """(node, hashes) of texts (node, text), one row a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t.as_py(), SHINGLE)).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], names=["node", "hashes"])
 
     return texts.select("node", "text").mapInArrow(run, "node long, hashes array<long>")
@@ -147,7 +158,7 @@ def _compared(least: float):
             found = compare(rows[0][0], rows[0][1], pick(2, np.int64), pick(3, np.int64), pick(4, np.int64), pick(5, np.int32), np.array([rows[k][6] for k in order], np.int64), sets, least)
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-        for batch in batches:
+        for batch in _slices(batches):
             heads = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             plain = [batch.column(c).to_pylist() for c in range(2, 8)]
             keys, hashes = (batch.column(c) for c in (8, 9))
@@ -156,7 +167,7 @@ def _compared(least: float):
                     if len(rows) > 1:
                         yield out()
                     name, rows = head, []
-                rows.append((*(c[k] for c in plain), keys[k].values.to_numpy(), hashes[k].values.to_numpy()))
+                rows.append((*(c[k] for c in plain), keys[k].values.to_numpy().copy(), hashes[k].values.to_numpy().copy()))
         if len(rows) > 1:
             yield out()
 

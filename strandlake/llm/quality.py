@@ -39,7 +39,7 @@ HIDDEN, EPOCHS, RATE, DECAY = 32, 300, 0.01, 1e-4
 MAX_FIT, FIT_TASKS = 6000, 8
 THRESHOLD = 0.7
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 50_000
 #: Tokens whose contexts are summed at once; windows do not reach across segments.
 SEGMENT = 256
 
