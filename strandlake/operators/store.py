@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,19 @@ from strandlake.operators.order import row_index
 from strandlake.storage import file_system as _fs
 
 
+def key_path(root: str, label: str, model_id: int, layer: int, metric: str, dim: int) -> str:
+    """The folder of one collection's store or index; raises on values that name none."""
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", label) or label in (".", ".."):
+        raise ValueError("a label has letters, digits, '.', '_' and '-' only")
+    if model_id < 0 or layer < 0:
+        raise ValueError("model and layer must not be negative")
+    if metric not in vec.METRICS:
+        raise ValueError(f"unknown metric {metric!r}; expected one of {', '.join(vec.METRICS)}")
+    if dim <= 0:
+        raise ValueError("the dimension must be positive")
+    return f"{root}/{label}/type_{model_id}/layer_{layer}/{metric}_{dim}"
+
+
 def state(stored: Column, live: Column, valid: Column) -> Column:
     """missing, invalid, stale or current."""
     return F.when(stored.isNull(), "missing").when(~valid, "invalid").when(stored != live, "stale").otherwise("current")

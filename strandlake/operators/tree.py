@@ -114,3 +114,10 @@ def nearest_at_rank(closed: DataFrame, nodes: DataFrame, rank: str) -> DataFrame
     at = closed.join(nodes.where(F.col("rank") == rank).select(F.col("tax_id").alias("ancestor")), "ancestor")
     order = W.partitionBy("tax_id").orderBy("up")
     return at.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("tax_id", F.col("ancestor").alias("clade"))
+
+
+def names(groups: DataFrame, named: DataFrame) -> DataFrame:
+    """(key, names, joined) of groups (key, ids) by a table (id, name): sorted names, unknown ids left out."""
+    asked = groups.select("key", F.explode_outer("ids").alias("id"))
+    found = asked.join(named.select("id", "name"), "id", "left").groupBy("key").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    return found.select("key", "names", F.array_join("names", "; ").alias("joined"))
