@@ -57,6 +57,21 @@ def relation(pairs: DataFrame, closed: DataFrame) -> DataFrame:
     return ranked.withColumn("relation", F.get(F.array(*(F.lit(r) for r in RELATIONS)), F.col("rank"))).drop("above", "below")
 
 
+def predicates(pairs: DataFrame, closed: DataFrame, include_self: bool = False) -> DataFrame:
+    """Pairs (a, b) with is_parent, is_child, is_ancestor and is_descendant, whether a is that of b, and same_path, whether one is on the other's path.
+
+    A term is its own ancestor and descendant only with include_self, and always
+    on its own path. Terms that the ontology lacks raise when rows are computed.
+    """
+    known = lambda end: closed.where("dist = 0").select(F.col("term").alias(end), F.lit(True).alias(f"_{end}"))
+    told = relation(pairs, closed).join(known("a"), "a", "left").join(known("b"), "b", "left")
+    unknown = F.raise_error(F.concat(F.lit("unknown term in the pair "), F.coalesce("a", F.lit("null")), F.lit(", "), F.coalesce("b", F.lit("null"))))
+    rank = F.when(F.col("_a").isNull() | F.col("_b").isNull(), unknown.cast("int")).otherwise(F.col("rank"))
+    own = (F.col("rank") == 0) & F.lit(include_self)
+    flags = {"is_parent": F.col("rank") == 1, "is_child": F.col("rank") == 2, "is_ancestor": F.col("rank").isin(1, 3) | own, "is_descendant": F.col("rank").isin(2, 4) | own, "same_path": F.col("rank") < 5}
+    return told.withColumn("rank", rank).select("a", "b", *(flag.alias(name) for name, flag in flags.items()))
+
+
 def best_relation(related: DataFrame) -> DataFrame:
     """Per term a: its closest relation to a group of terms b, and all b at it, sorted."""
     least = related.groupBy("a").agg(F.min("rank").alias("rank"))
@@ -69,8 +84,10 @@ def term_counts(annotations: DataFrame, closed: DataFrame) -> DataFrame:
 
 
 def information(counts: DataFrame, root: str) -> DataFrame:
-    """(term, ic): -ln of a term's share of the root's count."""
-    top = counts.where(F.col("term") == root).select(F.col("n").alias("top"))
+    """(term, ic): -ln of a term's share of the root's count; counts that lack the root raise, no counts give no rows."""
+    absent = F.raise_error(F.lit(f"no count of the root {root}")).cast("long")
+    top = counts.agg(F.count("*").alias("terms"), F.max(F.when(F.col("term") == root, F.col("n"))).alias("n"))
+    top = top.select(F.when(F.col("terms") > 0, F.coalesce("n", absent)).alias("top"))
     return counts.join(F.broadcast(top), F.lit(True)).select("term", F.abs(-F.log(F.col("n") / F.col("top"))).alias("ic"))  # one row
 
 

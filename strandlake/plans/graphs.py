@@ -223,10 +223,13 @@ def go_children(spark, sf):
 RELATED = DAG + ", q as (select * from pr union all select a, a from pr union all select child, parent from edge union all select parent, child from edge), rel as (select q.a, q.b, case when q.a = q.b then 0 when u.dist = 1 then 1 when d.dist = 1 then 2 when u.dist is not null then 3 when d.dist is not null then 4 else 5 end as rank from (select distinct * from q) q left join clo u on u.term = q.b and u.anc = q.a left join clo d on d.term = q.a and d.anc = q.b) "
 
 
-def related(spark, sf):
+def related_pairs(spark, sf):
     p, e = part_pairs(spark, sf), edges(spark, sf)
-    every = p.unionAll(p.select("a", F.col("a").alias("b"))).unionAll(e.select(F.col("child").alias("a"), F.col("parent").alias("b"))).unionAll(e.select(F.col("parent").alias("a"), F.col("child").alias("b"))).distinct()
-    return dag.relation(every, closed_dag(spark, sf))
+    return p.unionAll(p.select("a", F.col("a").alias("b"))).unionAll(e.select(F.col("child").alias("a"), F.col("parent").alias("b"))).unionAll(e.select(F.col("parent").alias("a"), F.col("child").alias("b"))).distinct()
+
+
+def related(spark, sf):
+    return dag.relation(related_pairs(spark, sf), closed_dag(spark, sf))
 
 
 @query(RELATED + "select a, b, ['same', 'parent', 'child', 'ancestor', 'descendant', 'non-related'][rank + 1] as relation from rel")
@@ -234,6 +237,11 @@ def go_relation(spark, sf):
     return related(spark, sf).select("a", "b", "relation")
 
 
+@query(RELATED + "select a, b, rank = 1 as is_parent, rank = 2 as is_child, rank in (1, 3) as is_ancestor, rank in (2, 4) as is_descendant, rank < 5 as same_path from rel")
+def go_predicates(spark, sf):
+    return dag.predicates(related_pairs(spark, sf), closed_dag(spark, sf))
+
+
 @query(RELATED + "select a, ['same', 'parent', 'child', 'ancestor', 'descendant', 'non-related'][rank + 1] as relation, string_agg(b, ';' order by b) as matches from rel where a <> b and rank = (select min(r2.rank) from rel r2 where r2.a = rel.a and r2.a <> r2.b) group by 1, 2")
 def go_best_relation(spark, sf):
     return dag.best_relation(related(spark, sf).where("a <> b"))

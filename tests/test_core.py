@@ -164,6 +164,27 @@ def test_toy_dag(spark):
     assert counts == {"1": 3, "2": 2, "3": 2, "4": 1}
 
 
+def test_dag_predicates_and_absent_counts(spark):
+    terms = spark.createDataFrame([(t,) for t in "1234"], "term string")
+    edges = spark.createDataFrame([("2", "1"), ("3", "1"), ("4", "2"), ("4", "3")], "child string, parent string")
+    closed = dag.closure(terms, edges)
+    pairs = spark.createDataFrame([("2", "4"), ("4", "2"), ("1", "4"), ("4", "1"), ("2", "3"), ("2", "2")], "a string, b string")
+    kinds = ("is_parent", "is_child", "is_ancestor", "is_descendant", "same_path")
+    names = lambda df: {r.a + r.b: {k for k in kinds if r[k]} for r in df.collect()}
+    expected = {"24": {"is_parent", "is_ancestor", "same_path"}, "42": {"is_child", "is_descendant", "same_path"}, "14": {"is_ancestor", "same_path"}, "41": {"is_descendant", "same_path"}, "23": set(), "22": {"same_path"}}
+    assert names(dag.predicates(pairs, closed)) == expected
+    assert names(dag.predicates(pairs, closed, include_self=True)) == expected | {"22": {"is_ancestor", "is_descendant", "same_path"}}
+    assert dag.predicates(pairs.limit(0), closed).count() == 0
+    for a, b in [("2", "9"), ("9", "9"), ("2", None)]:
+        with pytest.raises(Exception, match="unknown term"):
+            dag.predicates(spark.createDataFrame([(a, b)], "a string, b string"), closed).collect()
+    counts = dag.term_counts(spark.createDataFrame([("x", "4")], "entity string, term string"), closed)
+    assert {r.term: r.ic for r in dag.information(counts, "1").collect()} == dict.fromkeys("1234", 0.0)
+    assert dag.information(counts.limit(0), "1").collect() == []
+    with pytest.raises(Exception, match="no count of the root"):
+        dag.information(counts.where("term <> '1'"), "1").collect()
+
+
 def plain_score(a, b, gap_open=10, gap_extend=1):
     s = align.MATRICES["blosum62"][np.ix_(align._codes(a), align._codes(b))]
     best = np.zeros((len(a) + 1, len(b) + 1))
@@ -274,6 +295,13 @@ def test_sources_and_stream(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
 
 
+def test_replayed_batches_change_nothing(spark, tmp_path):
+    batch = spark.createDataFrame([(1, "a"), (None, "n"), (None, "m"), (1, "a")], "id long, v string")
+    for _ in range(2):
+        ingest.append_unseen(batch, str(tmp_path / "grown"), "id")
+    assert sorted((r.id is None, r.id) for r in spark.read.parquet(str(tmp_path / "grown")).collect()) == [(False, 1), (True, None)]
+
+
 def test_every_query_has_a_name_and_an_oracle_or_reason():
     import __spark_entry__
 
