@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from strandlake.storage import materialize
 
+#: Rows of a task before the ancestors of its entities are unfolded.
+ENTITY_ROWS = 400_000
 RELATIONS = ("same", "parent", "child", "ancestor", "descendant", "non-related")
 
 
@@ -78,9 +80,26 @@ def best_relation(related: DataFrame) -> DataFrame:
     return related.join(least, ["a", "rank"]).groupBy("a", "relation").agg(F.array_join(F.array_sort(F.collect_set("b")), ";").alias("matches"))
 
 
+def ancestry(closed: DataFrame, roots: list[str] = (), weights: DataFrame | None = None) -> DataFrame:
+    """(term, up): each term's ancestors and itself without roots, as structs (term, w); w is the weight (term, weight), 0 for terms without, 1 if there are none."""
+    up = closed.where(~F.col("ancestor").isin(list(roots))) if roots else closed
+    if weights is None:
+        return up.groupBy("term").agg(F.collect_list(F.struct(F.col("ancestor").alias("term"))).alias("up"))
+    rated = up.join(weights.select(F.col("term").alias("ancestor"), "weight"), "ancestor", "left")
+    return rated.groupBy("term").agg(F.collect_list(F.struct(F.col("ancestor").alias("term"), F.coalesce("weight", F.lit(0.0)).alias("w"))).alias("up"))
+
+
+def _by_entity(rows: DataFrame, n: int) -> DataFrame:
+    """Rows (entity, up, ...) dealt by entity before their ancestors are unfolded: these never pass a shuffle, and tasks stay of one size as rows grow."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(min(max(least, -(-n // ENTITY_ROWS)), 1 << 15), "entity")
+    return dealt.withColumn("_up", F.explode("up")).drop("up").select("*", "_up.*").drop("_up")
+
+
 def term_counts(annotations: DataFrame, closed: DataFrame) -> DataFrame:
     """(term, n): entities annotated with a term or its descendants; annotations: (entity, term), unknown terms drop out."""
-    return annotations.distinct().join(closed, "term").select(F.col("ancestor").alias("term"), "entity").distinct().groupBy("term").agg(F.count("*").alias("n"))
+    held = annotations.join(ancestry(closed), "term").select("entity", "up")
+    return _by_entity(held, annotations.count()).distinct().groupBy("term").agg(F.count("*").alias("n"))
 
 
 def information(counts: DataFrame, root: str) -> DataFrame:
@@ -114,9 +133,20 @@ def best_match_average(groups: DataFrame, scores: DataFrame, name: str = "lin")
 
 def propagate_labels(labels: DataFrame, closed: DataFrame, roots: list[str]) -> DataFrame:
     """(entity, term): labels and their ancestors without roots."""
-    return labels.join(closed, "term").select("entity", F.col("ancestor").alias("term")).where(~F.col("term").isin(roots)).distinct()
+    return _by_entity(labels.join(ancestry(closed, roots), "term").select("entity", "up"), labels.count()).distinct()
 
 
 def propagate_scores(scores: DataFrame, closed: DataFrame, roots: list[str]) -> DataFrame:
     """(entity, term, score): an ancestor's score is the largest of its descendants'."""
-    return scores.join(closed, "term").where(~F.col("ancestor").isin(roots)).groupBy("entity", F.col("ancestor").alias("term")).agg(F.max("score").alias("score"))
+    held = scores.join(ancestry(closed, roots), "term").select("entity", "score", "up")
+    return _by_entity(held, scores.count()).groupBy("entity", "term").agg(F.max("score").alias("score"))
+
+
+def propagate_marks(labels: DataFrame, scores: DataFrame, closed: DataFrame, roots: list[str], weights: DataFrame | None = None) -> DataFrame:
+    """(entity, term, t, score, w) as metrics.marks() gives for propagated labels and scores, from one shuffle of the rows as they were before."""
+    up = ancestry(closed, roots, weights)
+    rows = labels.select("entity", "term", F.lit(1).alias("t"), F.lit(None).cast("double").alias("score")).unionAll(scores.select("entity", "term", F.lit(0), "score"))
+    held = rows.join(up, "term").select("entity", "t", "score", "up")
+    unfolded = _by_entity(held, labels.count() + scores.count())
+    w = F.lit(1.0) if weights is None else F.first("w")
+    return unfolded.groupBy("entity", "term").agg(F.max("t").alias("t"), F.max("score").alias("score"), w.alias("w"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.operators.order import average_ranks, running_sum
+from strandlake.storage import materialize
 
 
 def safe(a: Column, b: Column) -> Column:
@@ -117,35 +118,48 @@ def bucket(score: Column, points: int = 101) -> Column:
     return F.least(down, F.lit(points - 1))
 
 
-def entity_sweep(truth: DataFrame, scores: DataFrame, points: int = 101, weights: DataFrame | None = None) -> DataFrame:
-    """(entity, truth, b, tp, predicted): weighted sums of an entity's terms by bucket; truth is its whole weight.
+def marks(truth: DataFrame, scores: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """(entity, term, t, score, w): a row per pair that is true (t = 1) or has a score, with the term's weight (term, weight), 0 for terms without, 1 if there are none."""
+    rows = truth.select("entity", "term", F.lit(1).alias("t"), F.lit(None).cast("double").alias("score")).unionAll(scores.select("entity", "term", F.lit(0), "score"))
+    marked = rows.groupBy("entity", "term").agg(F.max("t").alias("t"), F.max("score").alias("score"))
+    if weights is None:
+        return marked.withColumn("w", F.lit(1.0))
+    return marked.join(weights.select("term", F.col("weight").alias("w")), "term", "left").na.fill(0.0, ["w"]).select("entity", "term", "t", "score", "w")
 
-    Only entities with truth count. Sums stay sparse: an entity has a row per bucket that its scores hit.
+
+def sweep(marked: DataFrame, points: int = 101, kinds: tuple[str, ...] = ("plain",)) -> DataFrame:
+    """Per kind of weight and threshold: protein-centric precision, recall and F, pooled ones, remaining uncertainty and misinformation.
+
+    marked: see marks(). A kind is "plain" (every term weighs 1) or "weighted" (w);
+    only entities with truth of that weight count. All kinds come from one pass. An
+    entity's state changes only at the buckets that its scores hit, and is added up
+    by (next lower bucket, bucket), of which there are points * points / 2 at most;
+    thresholds are unfolded from these sums, which are written.
     """
-    def weigh(df: DataFrame) -> DataFrame:
-        return df.withColumn("w", F.lit(1.0)) if weights is None else df.join(weights.select("term", F.col("weight").alias("w")), "term", "left").na.fill(0.0, ["w"])
-
-    whole = weigh(truth.distinct()).groupBy("entity").agg(F.sum("w").alias("truth")).where("truth > 0")
-    hit = scores.join(truth.distinct().withColumn("t", F.lit(1)), ["entity", "term"], "left")
-    binned = weigh(hit).withColumn("b", bucket(F.col("score"), points)).where("b >= 0")
-    per = binned.groupBy("entity", "b").agg(F.sum(F.when(F.col("t") == 1, F.col("w")).otherwise(0.0)).alias("tp"), F.sum("w").alias("predicted"))
-    return whole.join(per, "entity", "left")
-
-
-def sweep(entities: DataFrame, points: int = 101) -> DataFrame:
-    """Per threshold: protein-centric precision, recall and F, pooled ones, remaining uncertainty and misinformation."""
-    n = entities.select("entity", "truth").distinct().agg(F.count("*").alias("n"), F.sum("truth").alias("whole"))
-    down = W.partitionBy("entity").orderBy(F.desc("b")).rowsBetween(W.unboundedPreceding, 0)
-    state = entities.where("b is not null").select("entity", "truth", "b", F.sum("tp").over(down).alias("tp"), F.sum("predicted").over(down).alias("predicted"))
-    # An entity's state at bucket b holds for the thresholds from its next lower bucket, exclusive, to b.
-    low = F.coalesce(F.lag("b").over(W.partitionBy("entity").orderBy("b")), F.lit(-1))
-    spans = state.withColumn("low", low)
-    parts = spans.select("truth", "tp", "predicted", F.explode(F.sequence(F.col("low") + 1, F.col("b"))).alias("i"))
-    at = parts.groupBy("i").agg(F.sum(safe(F.col("tp"), F.col("predicted"))).alias("ps"), F.count_if(F.col("predicted") > 0).alias("np"), F.sum(F.col("tp") / F.col("truth")).alias("rs"), F.sum("tp").alias("tp"), F.sum("predicted").alias("predicted"))
-    joined = at.join(F.broadcast(n), F.lit(True))  # one row
-    precision, recall = safe(F.col("ps"), F.col("np")), F.col("rs") / F.col("n")
-    mp, mr = safe(F.col("tp"), F.col("predicted")), F.col("tp") / F.col("whole")
-    return joined.select(
+    one = {"plain": F.lit(1.0), "weighted": F.col("w")}
+    b = F.when(F.col("score").isNull(), -1).otherwise(F.greatest(bucket(F.col("score"), points), F.lit(-1)))
+    true, scored = F.col("t") == 1, F.col("b") >= 0
+    sums = [x for k in kinds for x in (F.sum(F.when(true, one[k]).otherwise(0.0)).alias(f"t_{k}"), F.sum(F.when(scored, one[k]).otherwise(0.0)).alias(f"p_{k}"))]
+    per = marked.withColumn("b", b).groupBy("entity", "b").agg(*sums)
+    down, whole = W.partitionBy("entity").orderBy(F.desc("b")), W.partitionBy("entity")
+    so_far = down.rowsBetween(W.unboundedPreceding, 0)
+    state = per.select("b", F.coalesce(F.lead("b").over(down), F.lit(-1)).alias("low"), F.lag("b").over(down).isNull().alias("top"), *(x for k in kinds for x in (F.sum(f"t_{k}").over(so_far).alias(f"tp_{k}"), F.sum(f"p_{k}").over(so_far).alias(f"predicted_{k}"), F.sum(f"t_{k}").over(whole).alias(f"truth_{k}"))))
+
+    def added(k: str) -> list[Column]:
+        truth, tp, predicted = F.col(f"truth_{k}"), F.col(f"tp_{k}"), F.col(f"predicted_{k}")
+        told = {"n": F.when(F.col("top"), 1), "whole": F.when(F.col("top"), truth), "ps": safe(tp, predicted), "np": F.when(predicted > 0, 1), "rs": safe(tp, truth), "tp": tp, "predicted": predicted}
+        return [F.sum(F.when(truth > 0, x).otherwise(0)).alias(f"{name}_{k}") for name, x in told.items()]
+
+    spans = materialize(state.groupBy("low", "b").agg(*(x for k in kinds for x in added(k))), "sweep")
+    names = ("n", "whole", "ps", "np", "rs", "tp", "predicted")
+    long = spans.select("low", "b", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), *(F.col(f"{x}_{k}").alias(x) for x in names)) for k in kinds))).alias("x")).select("low", "b", "x.*")
+    all_ = long.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("whole").alias("whole"))
+    parts = long.where("b >= 0").select("kind", *names[2:], F.explode(F.sequence(F.col("low") + 1, F.col("b"))).alias("i"))
+    at = parts.groupBy("kind", "i").agg(*(F.sum(x).alias(x) for x in names[2:])).join(F.broadcast(all_), "kind")  # a row per kind
+    precision, recall = safe(F.col("ps"), F.col("np")), safe(F.col("rs"), F.col("n"))
+    mp, mr = safe(F.col("tp"), F.col("predicted")), safe(F.col("tp"), F.col("whole"))
+    return at.where("n > 0").select(
+        "kind",
         (F.col("i") / (points - 1)).alias("threshold"),
         precision.alias("precision"),
         recall.alias("recall"),

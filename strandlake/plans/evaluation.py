@@ -117,20 +117,26 @@ tr as (select distinct entity, anc as term from ann join clo using (term) where
 wt as (select term, ic as weight from ic), th as (select i / 100.0 as t, i from (select unnest(range(0, 101)) as i)) """
 
 
-def go_tables(spark, sf):
-    closed = graphs.closed_dag(spark, sf)
-    a = graphs.annotations(spark, sf).distinct()
+def scored(spark, sf):
+    """Scores (entity, term, score) of an order's parts and the next ones; a pair that comes twice has one score."""
     number = F.substring("term", 2, 20).try_cast("long")
-    near = a.unionAll(a.select("entity", F.concat(F.lit("P"), (number + 1).cast("string")).alias("term"))).distinct()
+    near = graphs.annotations(spark, sf).select("entity", F.explode(F.array(number, number + 1)).alias("number"))
     known = table(spark, sf, "part").select(F.concat(F.lit("P"), "p_partkey").alias("term"))
-    scores = near.join(known, "term", "left_semi").withColumn("score", F.pmod(F.col("entity") * 31 + number * 17, F.lit(1009)) / 1008.0)
-    return dag.propagate_labels(a, closed, ["ROOT"]), dag.propagate_scores(scores, closed, ["ROOT"]), graphs.term_ic(spark, sf, closed).withColumnRenamed("ic", "weight"), closed
+    scores = near.select("entity", F.concat(F.lit("P"), F.col("number").cast("string")).alias("term"), (F.pmod(F.col("entity") * 31 + F.col("number") * 17, F.lit(1009)) / 1008.0).alias("score"))
+    return scores, known
+
+
+def go_tables(spark, sf):
+    closed = graphs.closed_dag(spark, sf)
+    scores, known = scored(spark, sf)
+    # Only parts have scores, so the ancestors of other terms are left out.
+    return dag.propagate_labels(graphs.annotations(spark, sf), closed, ["ROOT"]), dag.propagate_scores(scores, closed.join(known, "term", "left_semi"), ["ROOT"]), closed
 
 
 @query(GO + "select entity, string_agg(term, ';' order by term) as terms from (select entity, term from tr except select entity, anc from ann join clo using (term) where anc <> 'ROOT' and try_cast(substr(ann.term, 2) as bigint) % 5 = 0) group by 1")
 def go_context(spark, sf):
     """Propagated truth without what is already known, known terms propagated too."""
-    truth, _, _, closed = go_tables(spark, sf)
+    truth, _, closed = go_tables(spark, sf)
     known = graphs.annotations(spark, sf).where(F.pmod(F.substring("term", 2, 20).try_cast("long"), F.lit(5)) == 0)
     left = truth.join(dag.propagate_labels(known, closed, ["ROOT"]), ["entity", "term"], "left_anti")
     return left.groupBy("entity").agg(F.array_join(F.array_sort(F.collect_list("term")), ";").alias("terms"))
@@ -149,41 +155,45 @@ tot as (select count(*) as c, sum(tw) as tw, count(*) filter (ww > 0) as wc, sum
 m as (select t, ps / np as p, rs / c as r, tp / n as mp, sw.tp / tot.tw as mr, wps / wnp as wp, wrs / wc as wr, (tot.ww - wtp) / wc as ru, (wn - wtp) / wc as mi from sw, tot) """
 
 
-def swept(spark, sf, weighted=False):
-    truth, scores, weights, _ = go_tables(spark, sf)
-    return metrics.sweep(metrics.entity_sweep(truth, scores, 101, weights if weighted else None))
+def swept(spark, sf, *kinds):
+    closed = graphs.closed_dag(spark, sf)
+    scores, known = scored(spark, sf)
+    weights = graphs.term_ic(spark, sf, closed).withColumnRenamed("ic", "weight") if "weighted" in kinds else None
+    marked = dag.propagate_marks(graphs.annotations(spark, sf), scores.join(known, "term", "left_semi"), closed, ["ROOT"], weights)
+    return metrics.sweep(marked, 101, kinds)
 
 
 @query(SWEEP + "select round(t, 6)::double as threshold, round(2 * p * r / (p + r), 6) as f from m order by round(2 * p * r / (p + r), 12) desc, t limit 1")
 def go_fmax(spark, sf):
-    return rounded(metrics.best(swept(spark, sf), "f"))
+    return rounded(metrics.best(swept(spark, sf, "plain"), "f"))
 
 
 @query(SWEEP + "select round(t, 6)::double as threshold, round(2 * mp * mr / (mp + mr), 6) as micro_f from m order by round(2 * mp * mr / (mp + mr), 12) desc, t limit 1")
 def go_fmax_micro(spark, sf):
-    return rounded(metrics.best(swept(spark, sf), "micro_f"))
+    return rounded(metrics.best(swept(spark, sf, "plain"), "micro_f"))
 
 
 @query(SWEEP + "select round(t, 6)::double as threshold, round(2 * wp * wr / (wp + wr), 6) as f from m order by round(2 * wp * wr / (wp + wr), 12) desc, t limit 1")
 def go_weighted_fmax(spark, sf):
-    return rounded(metrics.best(swept(spark, sf, True), "f"))
+    return rounded(metrics.best(swept(spark, sf, "weighted"), "f"))
 
 
 @query(SWEEP + "select round(min(sqrt(ru * ru + mi * mi)), 5) as smin from m")
 def go_smin(spark, sf):
-    return swept(spark, sf, True).agg(F.round(F.min(F.sqrt(F.pow("ru", F.lit(2)) + F.pow("mi", F.lit(2)))), 5).alias("smin"))
+    return swept(spark, sf, "weighted").agg(F.round(F.min(F.sqrt(F.pow("ru", F.lit(2)) + F.pow("mi", F.lit(2)))), 5).alias("smin"))
 
 
 @query(SWEEP + "select round(p, 6) as precision, round(r, 6) as recall, round(2 * p * r / (p + r), 6) as f from m where abs(t - 0.5) < 1e-9")
 def go_fixed(spark, sf):
-    return rounded(swept(spark, sf).where(F.abs(F.col("threshold") - 0.5) < 1e-9).select("precision", "recall", "f"))
+    return rounded(swept(spark, sf, "plain").where(F.abs(F.col("threshold") - 0.5) < 1e-9).select("precision", "recall", "f"))
 
 
 @query(SWEEP + "select round(avg(f), 6) as mean_f from (select max(2 * p * r / (p + r)) as f from m union all select max(2 * mp * mr / (mp + mr)) from m union all select max(2 * wp * wr / (wp + wr)) from m)")
 def go_cafa_mean(spark, sf):
     """Mean of three best values, as the mean over three ontologies is taken."""
-    plain = swept(spark, sf)
-    each = plain.agg(F.max("f").alias("f")).unionAll(plain.agg(F.max("micro_f"))).unionAll(swept(spark, sf, True).agg(F.max("f")))
+    both = swept(spark, sf, "plain", "weighted")
+    plain = both.where("kind = 'plain'")
+    each = plain.agg(F.max("f").alias("f")).unionAll(plain.agg(F.max("micro_f"))).unionAll(both.where("kind = 'weighted'").agg(F.max("f")))
     return each.agg(F.round(F.avg("f"), 6).alias("mean_f"))
 
 
