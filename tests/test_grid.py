@@ -1,8 +1,10 @@
 """Work that must not grow with the square of the input in one task or one row: sweeps in one pass, cells, pairs added up where they are made."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from strandlake.operators import dag, metrics
+from strandlake.operators import dag, knn, metrics
 
 
 def test_sweep_in_one_pass(spark):
@@ -38,3 +40,23 @@ def test_sweep_in_one_pass(spark):
                 assert n == 0
     plain = metrics.marks(dag.propagate_labels(frame(labels, "entity long, term string"), closed, ["r"]), dag.propagate_scores(frame(scores, "entity long, term string, score double"), closed, ["r"]), weights)
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, marked.collect()))
+
+
+@pytest.mark.parametrize("metric", ["l2"])
+def test_cells_keep_their_size(spark, monkeypatch, metric):
+    """More rows make more cells, not larger ones, and the same neighbours as one broadcast."""
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=6)]) for i in range(400)], "id long, vector array<float>")
+    asked = rows.select(F.col("id").alias("query_id"), "vector")
+    own = asked.select("query_id", F.col("query_id").alias("id"))
+    key = lambda df: sorted((r.query_id, r["rank"], r.id, round(r.distance, 9)) for r in df.collect())
+    whole, sums = key(knn.exact(asked, rows, 5, metric, own)), sorted(map(tuple, knn.summary(asked, rows, 9.0, metric).collect()))
+    pairs = knn.within(asked, rows, 0.3, metric)
+    monkeypatch.setattr(knn, "FEW", 0)
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(knn, "PART_ROWS", 200)
+    assert knn.candidates(asked, rows, 5, metric).rdd.getNumPartitions() == 8
+    assert key(knn.exact(asked, rows, 5, metric, own)) == whole
+    got = sorted(map(tuple, knn.summary(asked, rows, 9.0, metric).collect()))
+    assert [g[:2] for g in got] == [s[:2] for s in sums] and np.allclose([g[2] for g in got], [s[2] for s in sums]) and {g[1] for g in got} == {399}
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
