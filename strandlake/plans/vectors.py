@@ -191,8 +191,8 @@ def join_threshold_graph(spark, sf):
 @query(ALL + "select query_id, count(*) as n, round(avg(distance), 6) as mean_distance from d group by 1")
 def join_theta_distance(spark, sf):
     v = vectors(spark, sf)
-    found = knn.within(v.select(F.col("id").alias("query_id"), "vector"), v, 2.0).where("query_id <> id")
-    return found.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.avg("distance"), 6).alias("mean_distance"))
+    found = knn.summary(v.select(F.col("id").alias("query_id"), "vector"), v, 2.0)
+    return found.select("query_id", "n", F.round("mean", 6).alias("mean_distance"))
 
 
 @query("select label, i as pos, round(avg(embedding[i]::double), 6) as mean from (select label, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings) group by 1, 2")
