@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.operators import dag, knn, metrics
+from strandlake.operators import align, dag, knn, metrics, relational
 
 
 def test_sweep_in_one_pass(spark):
@@ -60,3 +60,25 @@ def test_cells_keep_their_size(spark, monkeypatch, metric):
     got = sorted(map(tuple, knn.summary(asked, rows, 9.0, metric).collect()))
     assert [g[:2] for g in got] == [s[:2] for s in sums] and np.allclose([g[2] for g in got], [s[2] for s in sums]) and {g[1] for g in got} == {399}
     assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_frequent_key_is_cut(spark):
+    """A key of many rows meets many cells, and every pair comes once; null keys pair with nothing."""
+    df = spark.createDataFrame([(i, 1 if i < 90 else 2 if i < 95 else None) for i in range(100)], "id long, key int")
+    pairs = relational.alias_pairs(df, "key", "id", 10)
+    want = sorted((a, b) for lo, hi in ((0, 90), (90, 95)) for a in range(lo, hi) for b in range(lo, hi))
+    assert sorted(map(tuple, pairs.collect())) == want
+
+
+def test_equal_pairs_are_aligned_once(spark, monkeypatch):
+    pairs = spark.createDataFrame([(i, "AR" * (1 + i % 2), "ARN") for i in range(40)], "id long, a string, b string").coalesce(1)
+    seen = spark.sparkContext.accumulator(0)
+    real = align.align
+
+    def counted(*args, **kw):
+        seen.add(1)
+        return real(*args, **kw)
+
+    monkeypatch.setattr(align, "align", counted)
+    rows = align.align_pairs(pairs).collect()
+    assert [r.score for r in sorted(rows, key=lambda r: r.id)] == [real("AR" * (1 + i % 2), "ARN")["score"] for i in range(40)]
