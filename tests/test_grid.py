@@ -82,3 +82,4 @@ def test_equal_pairs_are_aligned_once(spark, monkeypatch):
     monkeypatch.setattr(align, "align", counted)
     rows = align.align_pairs(pairs).collect()
     assert [r.score for r in sorted(rows, key=lambda r: r.id)] == [real("AR" * (1 + i % 2), "ARN")["score"] for i in range(40)]
+    assert 0 < seen.value <= 2
