@@ -9,18 +9,21 @@ a store are, so a failed rebuild keeps the former one.
 At the build, some of the training vectors look for their nearest neighbours among
 all of them: the fewest lists that hold COVERED of these are the index's own
 `probes`, kept in its manifest, since data without clusters need many more than
-clustered data. A search sends each query to its `probes` nearest lists, adds up tabled distances
-of the codes there, and orders the `pool` best by exact distances. Lists are
-searched in pieces of at most PIECE codes.
+clustered data. A search deals lists in parts of about knn.PART_ROWS codes, near
+lists together and larger ones in pieces, and queries in blocks of about
+knn.BLOCK_ROWS by the part of their nearest list. A block meets a part in a cell
+only if one of its queries asks a list there. The cell finds each query's `pool`
+best codes of the lists that it asks and works out their exact distances, so that
+no pool leaves it, only the nearest rows; cells keep their size when tables grow.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -33,7 +36,8 @@ from strandlake.storage import file_system, materialize
 SAMPLE, ITERATIONS, CODES, POOL = 20_000, 12, 256, 1000
 #: Share of true neighbours that the probed lists should hold, and the training vectors and neighbours that it is read from.
 COVERED, ASKED, NEIGHBOURS = 0.97, 256, 50
-PIECE = 1 << 17
+#: Approximate distances that a cell holds at once, and queries that are sent to their lists at once.
+HELD, SENT = 1 << 24, 1 << 10
 
 
 def kmeans(x: np.ndarray, k: int, seed: int, iterations: int = ITERATIONS) -> np.ndarray:
@@ -89,19 +93,24 @@ class Quantizer:
         d = -q @ self.centres.T if self.metric == "inner_product" else (self.centres**2).sum(1) - 2 * q @ self.centres.T
         return np.argsort(d, axis=1, kind="stable")[:, :probes]
 
-    def distances(self, q: np.ndarray, number: int, codes: np.ndarray) -> np.ndarray:
-        """Approximate distances of queries (rows) to the codes of a list (columns); smaller is nearer."""
-        q, centre = self.form(q), self.centres[number]
-        parts = np.arange(len(self.books))[None, :]
-        out = np.empty((len(q), len(codes)), np.float32)
-        for i, row in enumerate(q):
-            if self.metric == "inner_product":
-                table = -np.einsum("pcd,pd->pc", self.books, row.reshape(len(self.books), -1))
-                out[i] = table[parts, codes].sum(axis=1) - row @ centre
-            else:
-                rest = (row - centre).reshape(len(self.books), 1, -1)
-                out[i] = ((self.books - rest) ** 2).sum(axis=2)[parts, codes].sum(axis=1)
-        return out
+    def decode(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What the codes say of their vectors."""
+        return self.centres[lists] + np.concatenate([book[codes[:, p]] for p, book in enumerate(self.books)], axis=1)
+
+    def right(self, decoded: np.ndarray) -> np.ndarray:
+        """Decoded vectors (columns) as distances() multiplies them, in single precision."""
+        if self.metric == "inner_product":
+            return decoded.astype(np.float32).T
+        rows = (decoded - self.centres.mean(axis=0)).astype(np.float32)
+        return np.concatenate([rows, np.ones((len(rows), 1), np.float32), (rows**2).sum(axis=1)[:, None]], axis=1).T
+
+    def distances(self, q: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Approximate distances of queries (rows) to decoded vectors; smaller is nearer."""
+        q = self.form(q)
+        if self.metric == "inner_product":
+            return -q.astype(np.float32) @ right
+        q = (q - self.centres.mean(axis=0)).astype(np.float32)
+        return np.concatenate([-2 * q, (q**2).sum(axis=1)[:, None], np.ones((len(q), 1), np.float32)], axis=1) @ right
 
 
 def probes_needed(quantizer: Quantizer, x: np.ndarray, seed: int) -> int:
@@ -206,57 +215,176 @@ def load(spark: SparkSession, root: str) -> Index:
     return Index(quantizer, spark.read.parquet(*(f"{root}/{p}" for p in manifest["parts"])), manifest)
 
 
-def retrieve(index: Index, queries: DataFrame, pool: int = POOL, probes: int | None = None) -> DataFrame:
-    """(query_id, id, approximate): the pool of each query, by tabled distances of the codes in the lists that it asks."""
+def _chain(centres: np.ndarray) -> list[int]:
+    """The lists in an order that keeps near ones together: each is followed by the nearest one left."""
+    left, out = np.ones(len(centres), bool), [0]
+    sizes = (centres**2).sum(axis=1)
+    left[0] = False
+    while left.any():
+        d = np.where(left, sizes - 2 * centres @ centres[out[-1]], np.inf)
+        out.append(int(d.argmin()))
+        left[out[-1]] = False
+    return out
+
+
+def _parts(index: Index, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first part of each list, and the parts that it is cut into."""
+    sizes = {r[0]: r[1] for r in index.codes.groupBy("list").count().collect()}  # a row per list
+    first, pieces, part, filled = np.zeros(len(index.quantizer.centres), np.int64), np.ones(len(index.quantizer.centres), np.int64), 0, 0
+    for number in _chain(index.quantizer.centres):
+        n = sizes.get(number, 0)
+        if filled and filled + n > rows:
+            part, filled = part + 1, 0
+        first[number] = part
+        if n > rows:
+            pieces[number] = -(-n // rows)
+            part, filled = part + int(pieces[number]), 0
+        else:
+            filled += n
+    return first, pieces
+
+
+def _search_cell(quantizer: Quantizer, pool: int, queries: pa.RecordBatch, rows: pa.RecordBatch, exact: bool) -> Iterator[pa.RecordBatch]:
+    """One cell: queries with the lists that they ask there, and coded rows in the order of their lists."""
+    wanted, q = queries.column("asked").to_pylist(), knn._matrix(queries.column("vector"))
+    widths, names = queries.column("width").to_numpy().astype(int), queries.column("query_id")
+    own, ids = rows.column("list").to_numpy(), rows.column("id").to_numpy(zero_copy_only=False)
+    starts = np.nonzero(np.diff(own, prepend=-1))[0]
+    numbers, ends = own[starts], np.append(starts[1:], len(own))
+    told = np.frombuffer(b"".join(wanted), np.int32)
+    place, asks = np.searchsorted(numbers, told), np.zeros((len(wanted), len(numbers) + 1), bool)
+    place[numbers[np.minimum(place, len(numbers) - 1)] != told] = len(numbers)  # a list without rows here
+    asks[np.repeat(np.arange(len(wanted)), [len(w) // 4 for w in wanted]), place] = True
+    asks = asks[:, :-1]
+    order = np.array(sorted(range(len(wanted)), key=wanted.__getitem__))
+    vectors = knn._matrix(rows.column("vector")) if exact else None
+    right = quantizer.right(quantizer.decode(own, np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(own), -1))) if pool < len(own) or not exact else None
+    step = max(16, HELD // len(own))
+    for at in range(0, len(order), step):
+        some = order[at : at + step]
+        used = np.nonzero(asks[some].any(axis=0))[0]
+        if not len(used):
+            continue
+        columns = slice(None) if len(used) == len(numbers) else np.concatenate([np.arange(starts[j], ends[j]) for j in used])
+        allowed = np.repeat(asks[some][:, used], (ends - starts)[used], axis=1)
+        if right is not None:
+            near = quantizer.distances(q[some], right[:, columns])
+            np.copyto(near, np.inf, where=~allowed)
+            if pool < near.shape[1]:
+                allowed &= near <= np.partition(near, pool - 1, axis=1)[:, pool - 1 : pool]
+        if exact:
+            best = knn.Best(names.take(pa.array(some)).to_pylist(), q[some], widths[some], quantizer.metric, None)
+            best.add(ids[columns], vectors[columns], allowed)
+            yield from best.batches(names.type, rows.column("id").type)
+        else:
+            i, j = np.nonzero(allowed)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(some[i])), rows.column("id").take(pa.array(np.arange(len(own))[columns][j])), pa.array(near[i, j].astype(float))], names=["query_id", "id", "distance"])
+
+
+def _cells(index: Index, queries: DataFrame, corpus: DataFrame | None, pool: int, probes: int | None) -> DataFrame:
+    """(query_id, id, distance): of each part's `pool` best codes the nearest rows by exact distances to the corpus, or without one the codes themselves. queries: (query_id, width, vector)."""
     probes = index.manifest["probes"] if probes is None else probes
     if not 1 <= probes <= index.manifest["lists"]:
         raise ValueError(f"probes must lie in [1, {index.manifest['lists']}]")
-    quantizer, dims = index.quantizer, index.manifest["dim"]
-    spark = queries.sparkSession
-    shared = spark.sparkContext.broadcast(quantizer)
+    dims, spark, exact = index.manifest["dim"], queries.sparkSession, corpus is not None
+    shared = spark.sparkContext.broadcast(index.quantizer)
     query_type, id_type = dict(queries.dtypes)["query_id"], dict(index.codes.dtypes)["id"]
+    first, pieces = _parts(index, max(1, min(knn.PART_ROWS, knn.PART_BYTES // (8 * dims + 64))))
+
+    def send(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, SENT):
+                batch = whole.slice(at, SENT)
+                q = knn._matrix(batch.column(2))
+                if len(q) and q.shape[1] != dims:
+                    raise ValueError(f"expected {dims} dimensions, got {q.shape[1]}")
+                found = shared.value.probe(q, probes)
+                home, row, part, asked = first[found[:, 0]], [], [], []
+                for i, lists in enumerate(found):
+                    at_parts: dict[int, list[int]] = {}
+                    for number in np.sort(lists).tolist():
+                        for p in range(first[number], first[number] + pieces[number]):
+                            at_parts.setdefault(p, []).append(number)
+                    for p, those in at_parts.items():
+                        row.append(i)
+                        part.append(p)
+                        asked.append(np.array(those, np.int32).tobytes())
+                row = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(home).take(row), pa.array(part, pa.int64()), pa.array(asked, pa.binary()), *(batch.column(c).take(row) for c in range(3))], names=["home", "part", "asked", "query_id", "width", "vector"])
+
+    sent = queries.select("query_id", F.col("width").cast("int"), vec.as_double("vector").alias("vector")).where("vector is not null and query_id is not null").mapInArrow(send, f"home long, part long, asked binary, query_id {query_type}, width int, vector array<double>")
+    met = sent.groupBy("home", "part").count().collect()  # a row per two parts that meet
+    blocks = {h: -(-c // knn.BLOCK_ROWS) for h, p, c in met if h == p}
+    places, n = [], 0
+    for home, part, _ in sorted(map(tuple, met)):
+        places.append((home, part, n, blocks[home]))
+        n += blocks[home]
+    if not n:
+        return spark.createDataFrame([], f"query_id {query_type}, id {id_type}, distance double")
+    where = F.broadcast(spark.createDataFrame(places, "home long, part long, start long, blocks long"))
+    none = lambda kind: F.lit(None).cast(kind)
+    left = sent.join(where, ["home", "part"]).select((F.col("start") + F.pmod(F.xxhash64("query_id"), F.col("blocks"))).alias("cell"), F.lit(-1).alias("list"), "asked", "width", "query_id", none(id_type).alias("id"), none("binary").alias("code"), "vector")
+    cut = F.broadcast(spark.createDataFrame([(i, int(f), int(p)) for i, (f, p) in enumerate(zip(first, pieces, strict=True))], "list int, first long, pieces long"))
+    coded = index.codes.select("list", "id", "code").distinct() if exact else index.codes
+    coded = coded.join(cut, "list").withColumn("part", F.col("first") + F.pmod(F.xxhash64("id"), F.col("pieces")))
+    if exact:
+        coded = coded.join(corpus.select(F.col("id").cast(id_type).alias("id"), vec.as_double("vector").alias("vector")).where("vector is not null"), "id")
+    else:
+        coded = coded.withColumn("vector", none("array<double>"))
+    right = coded.join(where, "part").select(F.explode(F.sequence(F.col("start"), F.col("start") + F.col("blocks") - 1)).alias("cell"), "list", none("binary").alias("asked"), F.lit(0).alias("width"), none(query_type).alias("query_id"), "id", "code", "vector")
+    tasks = int(min(n, 1 << 15))
+    ready = left.unionAll(right).repartitionById(tasks, F.pmod("cell", F.lit(tasks)).cast("int")).sortWithinPartitions("cell", "list")
+
+    def scan(batches):
+        cell, held = None, []
+
+        def done():
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None)[0]
+            some = int((whole.column("list").to_numpy() < 0).sum())
+            if 0 < some < whole.num_rows:
+                yield from _search_cell(shared.value, pool, whole.slice(0, some), whole.slice(some), exact)
 
-    def ask(batches):
         for batch in batches:
-            q = knn._matrix(batch.column(1))
-            if len(q) and q.shape[1] != dims:
-                raise ValueError(f"expected {dims} dimensions, got {q.shape[1]}")
-            found = shared.value.probe(q, probes)
-            at = np.repeat(np.arange(len(q)), probes)
-            yield pa.RecordBatch.from_arrays([pa.array(found.ravel(), pa.int32()), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["list", "query_id", "q"])
-
-    asked = queries.select("query_id", vec.as_double("vector").alias("q")).where("q is not null").mapInArrow(ask, f"list int, query_id {query_type}, q array<double>")
-    pieces = index.codes.groupBy("list").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))  # a row per list
-    dealt = index.codes.join(F.broadcast(pieces), "list").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
-    sent = asked.join(F.broadcast(pieces), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "query_id", "q")
-
-    def scan(key, rows: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(codes):
-            ids = codes["id"].to_numpy()
-            matrix = np.frombuffer(b"".join(codes["code"]), np.uint8).reshape(len(codes), -1)
-            for at in range(0, len(rows), 64):
-                some = rows.iloc[at : at + 64]
-                d = shared.value.distances(np.array(some["q"].tolist(), np.float64), int(key[0]), matrix)
-                near = np.argsort(d, axis=1, kind="stable")[:, :pool]
-                out.append(pd.DataFrame({"query_id": np.repeat(some["query_id"].to_numpy(), near.shape[1]), "id": ids[near.ravel()], "approximate": np.take_along_axis(d, near, 1).ravel().astype(float)}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "id": [], "approximate": []})
-
-    keys = ["list", "piece"]
-    found = sent.groupBy(keys).cogroup(dealt.groupBy(keys)).applyInPandas(scan, f"query_id {query_type}, id {id_type}, approximate double")
-    once = found.groupBy("query_id", "id").agg(F.min("approximate").alias("approximate"))
+            numbers = batch.column(0).to_numpy()
+            ends = [*(np.nonzero(np.diff(numbers))[0] + 1).tolist(), len(numbers)]
+            for s, e in zip([0, *ends[:-1]], ends, strict=True):
+                if s < e:
+                    if held and numbers[s] != cell:
+                        yield from done()
+                        held = []
+                    cell = numbers[s]
+                    held.append(batch.slice(s, e - s))
+        if held:
+            yield from done()
+
+    return ready.mapInArrow(scan, f"query_id {query_type}, id {id_type}, distance double")
+
+
+def retrieve(index: Index, queries: DataFrame, pool: int = POOL, probes: int | None = None) -> DataFrame:
+    """(query_id, id, approximate): the pool of each query, by approximate distances of the codes in the lists that it asks."""
+    found = _cells(index, queries.select("query_id", F.lit(1).alias("width"), "vector"), None, pool, probes)
+    once = found.groupBy("query_id", "id").agg(F.min("distance").alias("approximate"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy("approximate", "id"))
     return once.withColumn("_r", place).where(F.col("_r") <= pool).drop("_r")
 
 
 def search(index: Index, queries: DataFrame, corpus: DataFrame, k: int = 10, pool: int | None = None, probes: int | None = None, exclusions: DataFrame | None = None, strict: bool = True) -> DataFrame:
-    """(query_id, id, distance, rank): the pool, max(k, POOL) unless given, in the order of exact distances."""
+    """(query_id, id, distance, rank) by exact distances of at least the pool, max(k, POOL) unless given.
+
+    Each part of the index that a query asks gives the `pool` best codes there, so
+    the pool of all parts is among the candidates, and no pair of it is shuffled.
+    """
     knn.check_k(k)
     pool = max(k, POOL) if pool is None else pool
     if pool < k:
         raise ValueError("the pool must hold k candidates")
-    found = retrieve(index, queries, pool, probes).select("query_id", "id")
+    asked, width = queries.select("query_id", "vector"), F.lit(k)
+    if exclusions is not None:
+        exclusions = exclusions.select("query_id", "id").distinct()
+        asked = asked.join(exclusions.groupBy("query_id").agg(F.count("*").alias("excluded")), "query_id", "left")
+        width = F.lit(k) + F.coalesce("excluded", F.lit(0))
+    found = _cells(index, asked.select("query_id", width.alias("width"), "vector"), corpus, pool, probes)
     if exclusions is not None:
-        found = found.join(exclusions.select("query_id", "id").distinct(), ["query_id", "id"], "left_anti")
-    out = knn.rerank(found, queries, corpus, k, index.quantizer.metric)
+        found = found.join(exclusions, ["query_id", "id"], "left_anti")
+    out = knn.rank(found, k)
     return knn.require_k(materialize(out, "neighbours"), queries, k) if strict else out

@@ -83,3 +83,48 @@ def test_equal_pairs_are_aligned_once(spark, monkeypatch):
     rows = align.align_pairs(pairs).collect()
     assert [r.score for r in sorted(rows, key=lambda r: r.id)] == [real("AR" * (1 + i % 2), "ARN")["score"] for i in range(40)]
     assert 0 < seen.value <= 2
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "inner_product"])
+def test_pools_stay_in_their_cells(spark, tmp_path, monkeypatch, metric):
+    """Only near rows leave a cell of lists and queries, not the pool; they are the nearest of all codes in the lists asked."""
+    from strandlake.operators import index
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 8)) + 3
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    index.build(rows, f"file://{tmp_path}/i", metric, lists=10, parts=4, codes=16)
+    found, asked = index.load(spark, f"file://{tmp_path}/i"), rows.select(F.col("id").alias("query_id"), "vector")
+    probed, own = found.quantizer.probe(x, 4), {r.id: r.list for r in found.codes.collect()}
+    d = knn.distances(x, x, metric)
+    want = {q: sorted((round(d[q, n], 9), n) for n in range(400) if own[n] in probed[q])[:5] for q in range(400)}
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(knn, "PART_ROWS", 130)
+    ranked, real = [], knn.rank
+    monkeypatch.setattr(knn, "rank", lambda pairs, k: ranked.append(pairs.count()) or real(pairs, k))
+    got = {}
+    for r in index.search(found, asked, rows, 5, pool=1 << 30, probes=4, strict=False).collect():
+        got.setdefault(r.query_id, []).append((round(r.distance, 9), r.id))
+    assert {q: sorted(v) for q, v in got.items()} == want and ranked[0] <= 400 * 5 * 5
+    pools = index.retrieve(found, asked, 30, 4).groupBy("query_id").count()
+    sizes = np.bincount([own[n] for n in range(400)])
+    assert {r.query_id: r["count"] for r in pools.collect()} == {q: min(30, int(sizes[probed[q]].sum())) for q in range(400)}
+    assert index.search(found, asked, rows, 5, pool=60, probes=10, exclusions=asked.select("query_id", F.col("query_id").alias("id"))).where("query_id = id").isEmpty()
+
+
+def test_single_precision_scores_leave_exact_neighbours(monkeypatch):
+    """Large offsets, tiny and huge vectors and nans: the neighbours by double precision, whatever the scores' precision."""
+    rng = np.random.default_rng(2)
+    for scale, offset in ((1.0, 1e4), (1e-20, 0.0), (1e18, 0.0), (1.0, 0.0)):
+        for metric in ("l2", "inner_product", "cosine"):
+            q, x = rng.normal(size=(6, 5)) * scale + offset, rng.normal(size=(3000, 5)) * scale + offset
+            x[7, 0] = np.nan
+            best = knn.Best(list(range(6)), q, np.full(6, 4), metric, None)
+            best.add(np.arange(3000), x)
+            got = [[] for _ in q]
+            for b in best.batches(knn.pa.int64(), knn.pa.int64()):
+                for r in b.to_pylist():
+                    got[r["query_id"]].append((r["distance"], r["id"]))
+            for i in range(6):
+                d = knn.pair_distances(np.repeat(q[i : i + 1], 3000, axis=0), x, metric)
+                assert sorted(got[i])[:4] == sorted((v, n) for n, v in enumerate(d) if n != 7)[:4]
