@@ -319,9 +319,12 @@ def aln_stats(spark, sf):
 @query(vectors.ALL + ", x as (select distance, abs(query_label - label) as g from d), r as (select rank() over (order by distance) + (count(*) over (partition by distance) - 1) / 2 as a, rank() over (order by g) + (count(*) over (partition by g) - 1) / 2 as b from (select round(distance, 9) as distance, g from x)) select round(corr(a, b), 5) as spearman from r")
 def cmp_audit(spark, sf):
     """Do near vectors have near labels: Spearman's rho of distance and label gap over all pairs."""
-    v = vectors.vectors(spark, sf)
-    from strandlake.operators import knn
+    from strandlake.operators import correlate, knn
 
+    v = vectors.vectors(spark, sf)
+    if correlate.regular(v):
+        return rows(spark, "spearman double", (correlate.label_gap_rho(v),))
+    # Rows without a label, or with the id of others: every pair is ranked.
     d = knn.within(v.select(F.col("id").alias("query_id"), "vector"), v, 2.0).where("query_id <> id")
     joined = d.join(v.select(F.col("id").alias("query_id"), F.col("label").alias("q")), "query_id").join(v.select("id", "label"), "id")
     pairs = joined.select(F.round("distance", 9).alias("distance"), F.abs(F.col("q") - F.col("label")).alias("g"))

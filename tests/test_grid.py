@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.operators import align, dag, knn, metrics, relational
+from strandlake.operators import align, correlate, dag, knn, metrics, relational
 
 
 def test_sweep_in_one_pass(spark):
@@ -128,3 +128,23 @@ def test_single_precision_scores_leave_exact_neighbours(monkeypatch):
             for i in range(6):
                 d = knn.pair_distances(np.repeat(q[i : i + 1], 3000, axis=0), x, metric)
                 assert sorted(got[i])[:4] == sorted((v, n) for n, v in enumerate(d) if n != 7)[:4]
+
+
+def test_rho_of_all_pairs_without_sorting_them(spark, monkeypatch):
+    """Copies, zero vectors and few values too: rho by plain ranks, whatever blocks and bins there are; no pair leaves a task."""
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    loose = rng.normal(size=(300, 6))
+    tied = np.concatenate([np.repeat(rng.normal(size=(6, 6)), 40, axis=0), np.zeros((10, 6))])
+    for x, sizes, digits in ((loose, (100, 1 << 18), 5), (tied, (150, 1 << 16), 5), (loose, (10**6, 300), 3), (loose[:2], (100, 100), 5)):
+        label = rng.integers(0, 7, len(x))
+        df = spark.createDataFrame([(i, v.tolist(), int(g)) for i, (v, g) in enumerate(zip(x, label, strict=True))], "id long, vector array<double>, label int")
+        i, j = np.triu_indices(len(x), 1)
+        d = pd.Series(np.round(knn.pair_distances(x[i], x[j], "cosine"), 9)).rank()
+        g = pd.Series(np.abs(label[i] - label[j])).rank()
+        monkeypatch.setattr(knn, "BLOCK_ROWS", sizes[0])
+        monkeypatch.setattr(correlate, "BINS", sizes[1])
+        got = correlate.label_gap_rho(df, digits)
+        assert got is None if len(x) == 2 else got == round(float(np.corrcoef(d, g)[0, 1]), digits)
+    assert correlate.regular(df) and not correlate.regular(df.union(df)) and not correlate.regular(df.withColumn("label", F.lit(None).cast("int")))
