@@ -87,6 +87,12 @@ def self_neighbors(spark, sf, k=10, metric="cosine", strict=True):
     return knn.exact(v.select(F.col("id").alias("query_id"), "vector"), v, k, metric, own, strict)
 
 
+def self_neighbors_each(spark, sf, *metrics):
+    v = vectors(spark, sf)
+    own = v.select(F.col("id").alias("query_id"), "id")
+    return knn.exact_each(v.select(F.col("id").alias("query_id"), "vector"), v, 10, metrics, own)
+
+
 def shaped(found):
     return found.select("query_id", "id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
@@ -143,13 +149,13 @@ def knn_annotations(spark, sf):
 
 @query(ALL + ", l as (select q.id as query_id, c.id, list_distance(q.v, c.v) as distance from e q join e c on q.id <> c.id), m as (select *, row_number() over (partition by query_id order by distance, id) as r from l) select k.query_id, count(*) as n_true, count(m.id) as n_shared, round(count(m.id) / count(*), 6) as recall, round(coalesce(sqrt(avg(power(m.distance - k.distance, 2))), 0), 6) as distance_rmsd from k left join m on k.query_id = m.query_id and k.id = m.id and m.r <= 10 where k.r <= 10 group by 1")
 def knn_quality(spark, sf):
-    out = knn.quality(self_neighbors(spark, sf, 10, "l2"), self_neighbors(spark, sf, 10))
+    out = knn.quality(*self_neighbors_each(spark, sf, "l2", "cosine"))
     return out.select("query_id", "n_true", "n_shared", F.round("recall", 6).alias("recall"), F.round("distance_rmsd", 6).alias("distance_rmsd"))
 
 
 @query(ALL + ", l as (select q.id as query_id, c.id, -list_inner_product(q.v, c.v) as distance from e q join e c on q.id <> c.id), m as (select *, row_number() over (partition by query_id order by distance, id) as r from l), a as (select query_id, id, 1 / r as wa from k where r <= 10), b as (select query_id, id, 1 / r as wb from m where r <= 10) select coalesce(a.query_id, b.query_id) as query_id, round(sum(least(coalesce(wa, 0), coalesce(wb, 0))) / sum(greatest(coalesce(wa, 0), coalesce(wb, 0))), 6) as overlap from a full join b on a.query_id = b.query_id and a.id = b.id group by 1")
 def knn_overlap(spark, sf):
-    return knn.overlap(self_neighbors(spark, sf), self_neighbors(spark, sf, 10, "inner_product")).select("query_id", F.round("overlap", 6).alias("overlap"))
+    return knn.overlap(*self_neighbors_each(spark, sf, "cosine", "inner_product")).select("query_id", F.round("overlap", 6).alias("overlap"))
 
 
 def built_index(spark, sf, **options):

@@ -178,3 +178,35 @@ def test_tiles_keep_their_memory(monkeypatch, metric):
                 nearest[names[n]] = min(d[n], nearest.get(names[n], np.inf))
             assert sorted(got.get(f"q{i}", [])) == sorted((v, n) for n, v in nearest.items())[: widths[i]]
         assert len(drops) <= 3 and {s[0] for s, _ in masks} == {16, 8} and len({at for _, at in masks}) == 1
+
+
+def test_metrics_share_a_product(spark, monkeypatch):
+    """Neighbours by several metrics from one grid and mostly one product: the rows of each search alone; far offsets, copies and rows without length fall back."""
+    rng = np.random.default_rng(8)
+    unit = rng.normal(size=(3000, 8))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    zero = unit.copy()
+    zero[::7] = 0
+    monkeypatch.setattr(knn, "CELLS", 1 << 12)
+    monkeypatch.setattr(knn, "FIRST", 256)
+    monkeypatch.setattr(knn, "TILE", 16)
+    for x, shares in ((unit, True), (unit * rng.uniform(2, 2.01, (3000, 1)), True), (unit * rng.uniform(1, 9, (3000, 1)), False), (zero, False), (unit / 100 + 50, None)):
+        names, widths = rng.integers(0, 2500, len(x)), np.full(40, 4)
+        several = knn.Several(list(range(40)), x[:40] * 1.5, widths, knn.vec.METRICS, None)
+        for _ in several.added(names, x):
+            pass
+        got = sorted(tuple(r.values()) for b in several.batches(knn.pa.int64(), knn.pa.int64()) for r in b.to_pylist())
+        want = []
+        for m in knn.vec.METRICS:
+            best = knn.Best(list(range(40)), x[:40] * 1.5, widths, m, None)
+            best.add(names, x)
+            want += [(*r.values(), m) for b in best.batches(knn.pa.int64(), knn.pa.int64()) for r in b.to_pylist()]
+        assert got == sorted(want) and shares in (None, several.shared > 5)
+    rows = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(unit[:400])], "id long, vector array<double>")
+    asked = rows.select(F.col("id").alias("query_id"), "vector")
+    own = asked.select("query_id", F.col("query_id").alias("id"))
+    key = lambda df: sorted((r.query_id, r["rank"], r.id, r.distance) for r in df.collect())
+    alone = [key(knn.exact(asked, rows, 3, m, own)) for m in ("l2", "cosine")]
+    monkeypatch.setattr(knn, "FEW", 0)
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 100)
+    assert [key(df) for df in knn.exact_each(asked, rows, 3, ("l2", "cosine"), own)] == alone
